@@ -263,7 +263,8 @@ def compare(k: int, pct: int):
 
 def _compared(docs: DataFrame, placed: DataFrame, k: int, pct: int) -> DataFrame:
     """Verified links among the texts placed (doc_id, cluster, block) in one block."""
-    texts = docs.join(placed, "doc_id").select("cluster", "block", "doc_id", "text")
+    # by shuffle at every size: what is placed grows with the input
+    texts = docs.join(placed.hint("merge"), "doc_id").select("cluster", "block", "doc_id", "text")
     parted = texts.repartition(F.col("cluster"), F.col("block")).sortWithinPartitions("cluster", "block")
     return parted.mapInArrow(compare(k, pct), "a long, b long")
 
