@@ -2,5 +2,309 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveline.functions import convert, diversity, similarity
+from sieveline.functions.vectors import bits
+from sieveline.operators import quota, select
+from sieveline.sources.frames import features
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return features(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", "label")
+
+
+def prints(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).withColumn("features", bits(F.col("features")))
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n) + 0.0
+
+
+_SUM = "list_sum(list_transform(list_zip({a}, {b}), lambda z: {f}))"
+_DOT = lambda a, b: _SUM.format(a=a, b=b, f="z[1] * z[2]")
+_OFF = lambda a, b: _SUM.format(a=a, b=b, f="(1 - z[1]) * (1 - z[2])")
+_DIST = lambda a, b: "sqrt(" + _SUM.format(a=a, b=b, f="(z[1] - z[2]) * (z[1] - z[2])") + ")"
+_VEC = "p AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings)"
+_BITS = "p AS MATERIALIZED (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS e FROM embeddings)"
+
+# --- groups and quotas
+
+
+@query("census", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def census(spark, d):
+    return quota.census(vectors(spark, d), "label")
+
+
+def _quotas(how: str):
+    def run(spark, d):
+        q = quota.allocate(vectors(spark, d), "label", 100, how)
+        return spark.createDataFrame(sorted(q.items()), "label int, quota long")
+
+    return run
+
+
+query("quota_proportional")(_quotas("proportional"))
+query("quota_equal", "SELECT label, 100 // (SELECT count(DISTINCT label) FROM embeddings) AS quota FROM embeddings GROUP BY label")(_quotas("equal"))
+
+# --- selectors
+
+
+def _greedy_sql(merge: str, k: int = 5) -> str:
+    return f"""
+WITH RECURSIVE {_VEC},
+d AS MATERIALIZED (SELECT a.label, a.id AS i, b.id AS j, {_DIST("a.e", "b.e")} AS d FROM p a JOIN p b ON a.label = b.label),
+s AS (SELECT label, arg_min(i, struct_pack(s := s, i := i)) AS pick FROM (SELECT label, i, sum(d) AS s FROM d GROUP BY 1, 2) GROUP BY 1),
+r(rk, label, id, v, used, pick) AS (
+  SELECT 0, d.label, d.j, d.d, d.j = s.pick, s.pick FROM d JOIN s ON s.label = d.label AND d.i = s.pick
+  UNION ALL
+  SELECT r.rk + 1, r.label, r.id, {merge}, r.used OR r.id = b.pick, b.pick
+  FROM r JOIN (SELECT label, arg_max(id, struct_pack(v := v, k := -id)) FILTER (NOT used) AS pick FROM r GROUP BY label) b ON b.label = r.label
+  JOIN d ON d.label = r.label AND d.i = b.pick AND d.j = r.id
+  WHERE r.rk < {k - 1}
+)
+SELECT DISTINCT label, rk AS rank, pick AS id FROM r
+"""
+
+
+def _each(selector):
+    def run(spark, d):
+        rows = vectors(spark, d)
+        return select.select(rows, selector, 5 * rows.select("label").distinct().count(), by="label", allocation="equal")
+
+    return run
+
+
+query("maxmin_per_label", _greedy_sql("least(r.v, d.d)"))(_each(select.MaxMin()))
+query("maxsum_per_label", _greedy_sql("r.v + d.d"))(_each(select.MaxSum()))
+query("optisim_per_label")(_each(select.OptiSim()))
+query("dise_per_label")(_each(select.DISE()))
+query("furthest_centroid_per_label")(_each(select.FurthestCentroid()))
+query("furthest_centroid_exact")(_each(select.FurthestCentroid(exact=True, scaling=0)))
+for _key in ("RR", "JT", "SM"):
+    query(f"nsim_select_{_key}")(_each(select.NSimilarity(key=_key)))
+
+
+@query("grid_select")
+def grid_select(spark, d):
+    part = features(spark.read.parquet(f"{d}/part.parquet"), "p_partkey", ["p_size", "p_retailprice"])
+    return select.select(part, select.GridPartition(bins=4), 20)
+
+
+@query("medoid_per_label", f"WITH {_VEC}, s AS (SELECT a.label, a.id AS i, sum({_DIST('a.e', 'b.e')}) AS s FROM p a JOIN p b ON a.label = b.label GROUP BY 1, 2) SELECT label, arg_min(i, struct_pack(s := s, i := i)) AS id FROM s GROUP BY label")
+def medoid_per_label(spark, d):
+    return select.medoids(vectors(spark, d), by="label")
+
+
+@query("complement", "WITH " + _greedy_sql("least(r.v, d.d)").strip().removeprefix("WITH ").replace("SELECT DISTINCT label, rk AS rank, pick AS id FROM r", "SELECT id, label FROM p WHERE id NOT IN (SELECT pick FROM r)"))
+def complement(spark, d):
+    return select.complement(vectors(spark, d), QUERIES["maxmin_per_label"](spark, d)).select("id", "label")
+
+
+@query("maxmin_large")
+def maxmin_large(spark, d):
+    return select.max_min_large(vectors(spark, d), 5, 0)
+
+
+@query("random_rows")
+def random_rows(spark, d):
+    return select.random_rows(vectors(spark, d).select("id", "label"), 50)
+
+
+# --- binning
+
+
+@query("bins_width", "WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT p_partkey, CAST(floor((p_retailprice - lo) / ((hi - lo) / 4)) AS INT) AS bin FROM part, e")
+def bins_width(spark, d):
+    return select.width_binned(spark.read.parquet(f"{d}/part.parquet"), "p_retailprice", 4).select("p_partkey", "bin")
+
+
+@query("bins_width_dependent", "WITH e AS (SELECT p_partkey, p_retailprice AS x, min(p_retailprice) OVER (PARTITION BY p_size) AS lo, max(p_retailprice) OVER (PARTITION BY p_size) AS hi FROM part) SELECT p_partkey, CASE WHEN hi > lo THEN CAST(floor((x - lo) / ((hi - lo) / 4)) AS INT) ELSE 0 END AS bin FROM e")
+def bins_width_dependent(spark, d):
+    return select.width_binned(spark.read.parquet(f"{d}/part.parquet"), "p_retailprice", 4, "p_size").select("p_partkey", "bin")
+
+
+@query(
+    "bins_frequency",
+    """
+WITH s AS (SELECT l_returnflag AS g, l_quantity AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+q AS (SELECT g, m, least(m * n / 5.0::DOUBLE, n - 1) AS at FROM (SELECT DISTINCT g, n FROM s), range(6) t(m)),
+e AS (SELECT q.g, q.m, a.x + (b.x - a.x) * (q.at - floor(q.at)) AS v FROM q JOIN s a ON a.g = q.g AND a.r = floor(q.at) JOIN s b ON b.g = q.g AND b.r = ceil(q.at)),
+u AS (SELECT DISTINCT g, x FROM s),
+t AS (SELECT u.g, u.x, max(e.v) AS top FROM u LEFT JOIN e ON e.g = u.g AND e.v < u.x GROUP BY 1, 2),
+b AS (SELECT t.g, t.x, coalesce(min(e.m), 0) AS bin FROM t LEFT JOIN e ON e.g = t.g AND e.v = t.top GROUP BY 1, 2)
+SELECT l_returnflag, CAST(bin AS INT) AS bin, count(*) AS n FROM lineitem JOIN b ON b.g = l_returnflag AND b.x = l_quantity GROUP BY 1, 2
+""",
+)
+def bins_frequency(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_quantity")
+    return select.frequency_binned(rows, "l_quantity", 5, "l_returnflag").groupBy("l_returnflag", "bin").agg(F.count("*").alias("n"))
+
+
+# --- pairwise similarity, on the fingerprints of label 0
+
+_P0 = f"WITH {_BITS}, q AS MATERIALIZED (SELECT x.id AS i, y.id AS j, {_DOT('x.e', 'y.e')} AS a, {_OFF('x.e', 'y.e')} AS d, len(x.e)::DOUBLE AS p FROM p x JOIN p y ON x.label = 0 AND y.label = 0)"
+_AXD = _P0 + ", c AS MATERIALIZED (SELECT i, j, a, d, p - a - d AS x, p FROM q)"
+#: The indices from a, d, x and their weighted counts wa, wd, wx.
+_FORMULA = {
+    "AC": "2 / pi() * asin(sqrt((wa + wd) / (a + d + x)))",
+    "BUB": "(sqrt(wa * wd) + wa) / (sqrt(a * d) + a + x)",
+    "CT1": "ln(1 + wa + wd) / ln(1 + a + d + x)",
+    "CT2": "(ln(1 + wa + wd + wx) - ln(1 + wx)) / ln(1 + a + d + x)",
+    "CT3": "ln(1 + wa) / ln(1 + a + d + x)",
+    "CT4": "ln(1 + wa) / ln(1 + a + x)",
+    "Fai": "(wa + wd / 2) / (a + d + x)",
+    "Gle": "2 * wa / (2 * a + x)",
+    "Ja": "3 * wa / (3 * a + x)",
+    "Ja0": "3 * (wa + wd) / (3 * (a + d) + x)",
+    "JT": "wa / (a + x)",
+    "RT": "(wa + wd) / (a + d + 2 * x)",
+    "RR": "wa / (a + d + x)",
+    "SM": "(wa + wd) / (a + d + x)",
+    "SS1": "wa / (a + 2 * x)",
+    "SS2": "2 * (wa + wd) / (a + d + x + a + d)",
+}
+
+
+def _plain(key: str) -> str:
+    return _FORMULA[key].replace("wa", "a").replace("wd", "d").replace("wx", "x")
+
+
+def _pairs(value):
+    def run(spark, d):
+        rows = prints(spark, d).where("label = 0")
+        return similarity.pair_frame(rows, value).withColumn("value", _r(F.col("value")))
+
+    return run
+
+
+for _key in similarity.PAIR_KEYS:
+    query(f"pair_{_key}", f"{_AXD} SELECT i, j, round({_plain(_key)}, 6) + 0.0 AS value FROM c")(_pairs(lambda a, b, k=_key: similarity.pair_index(k, a, b)))
+query("pair_tanimoto", f"{_AXD} SELECT i, j, round(a / (a + x), 6) + 0.0 AS value FROM c")(_pairs(similarity.tanimoto))
+_MT = "(2 - (p - d + a) / (2 * p)) / 3 * (CASE WHEN d = p THEN 1 ELSE a / (p - d) END) + (1 + (p - d + a) / (2 * p)) / 3 * (CASE WHEN a = p THEN 1 ELSE d / (p - a) END)"
+query("pair_modified_tanimoto", f"{_P0} SELECT i, j, round({_MT}, 6) + 0.0 AS value FROM q")(_pairs(similarity.modified_tanimoto))
+
+
+@query("pair_scaled", f"{_P0} SELECT q.i, q.j, round(q.a / sqrt(u.a * v.a), 6) + 0.0 AS value FROM q JOIN q u ON u.i = q.i AND u.j = q.i JOIN q v ON v.i = q.j AND v.j = q.j")
+def pair_scaled(spark, d):
+    from sieveline.functions.vectors import dot
+
+    rows = prints(spark, d).where("label = 0")
+    return similarity.scaled(similarity.pair_frame(rows, dot)).withColumn("value", _r(F.col("value")))
+
+
+# --- converters, of the Tanimoto pairs (covariance: of dot products)
+
+_T = f"{_AXD}, t AS MATERIALIZED (SELECT i, j, a / (a + x) AS v FROM c)"
+_CONVERT = {
+    "reverse": "(SELECT max(v) + min(v) FROM t) - v",
+    "reciprocal": "1 / v",
+    "exponential": "-ln(v / (SELECT max(v) FROM t))",
+    "gaussian": "sqrt(abs(-ln(v / (SELECT max(v) FROM t))))",
+    "correlation": "sqrt(1 - v)",
+    "transition": "1 / sqrt(v)",
+    "co_occurrence": "1 / (1 + v * (SELECT s FROM b) / (SELECT b FROM b))",
+    "gravity": "sqrt((SELECT b FROM b) / (v * (SELECT s FROM b)))",
+    "probability": "1 / sqrt(asin(v))",
+    "membership": "1 - v",
+    "confusion": "1 - v",
+}
+_B = ", rw AS (SELECT i AS k, sum(v) AS r FROM t GROUP BY 1), cl AS (SELECT j AS k, sum(v) AS c FROM t GROUP BY 1), b AS MATERIALIZED (SELECT sum(r * c) AS b, sum(r) AS s FROM rw JOIN cl USING (k))"
+
+
+def _converted(metric: str):
+    def run(spark, d):
+        rows = prints(spark, d).where("label = 0")
+        return convert.to_distance(similarity.pair_frame(rows, similarity.tanimoto), metric).withColumn("value", _r(F.col("value")))
+
+    return run
+
+
+for _metric, _sql in _CONVERT.items():
+    query(f"distance_{_metric}", f"{_T}{_B} SELECT i, j, round({_sql}, 6) + 0.0 AS value FROM t")(_converted(_metric))
+
+
+@query("distance_covariance", f"{_P0} SELECT q.i, q.j, round(sqrt(u.a + v.a - 2 * q.a), 6) + 0.0 AS value FROM q JOIN q u ON u.i = q.i AND u.j = q.i JOIN q v ON v.i = q.j AND v.j = q.j")
+def distance_covariance(spark, d):
+    from sieveline.functions.vectors import dot
+
+    rows = prints(spark, d).where("label = 0")
+    return convert.to_distance(similarity.pair_frame(rows, dot), "covariance").withColumn("value", _r(F.col("value")))
+
+
+# --- n-ary similarity of each label's fingerprints
+
+_SETS = f"WITH {_BITS}, k AS (SELECT label, pos, sum(v) AS c, count(*)::DOUBLE AS n FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS pos FROM p) GROUP BY 1, 2)"
+_ISIM = _SETS + ", c AS (SELECT label, sum(c * (c - 1) / 2) AS a, sum((n - c) * (n - c - 1) / 2) AS d, sum((n - c) * c) AS x FROM k GROUP BY 1)"
+_ESIM = _SETS + """, g AS (SELECT *, abs(2 * c - n) AS gap, CASE WHEN 2 * c - n > {bar} THEN 1 WHEN n - 2 * c > {bar} THEN 2 ELSE 3 END AS kind FROM k),
+c AS (SELECT label, count(*) FILTER (kind = 1)::DOUBLE AS a, count(*) FILTER (kind = 2)::DOUBLE AS d, count(*) FILTER (kind = 3)::DOUBLE AS x,
+  coalesce(sum({alike}) FILTER (kind = 1), 0) AS wa, coalesce(sum({alike}) FILTER (kind = 2), 0) AS wd, coalesce(sum({unlike}) FILTER (kind = 3), 0) AS wx FROM g GROUP BY 1)"""
+
+
+def _sets(value):
+    def run(spark, d):
+        sums = similarity.column_sums(prints(spark, d), "label")
+        return sums.select("label", _r(value(F.col("sums"), F.col("n"))).alias("value"))
+
+    return run
+
+
+for _key in similarity.INDEX_KEYS:
+    query(f"isim_{_key}", f"{_ISIM} SELECT label, round({_plain(_key)}, 6) + 0.0 AS value FROM c")(_sets(lambda s, n, k=_key: similarity.isim(k, s, n)))
+    for _name, _bar, _thr in (("none", "n % 2", None), ("dissimilar", "ceil(n / 2)", "dissimilar")):
+        for _w, _alike, _unlike in (("fraction", "gap / n", "1 - (gap - n % 2) / n"), ("power_3", "pow(3, -(n - gap))", "pow(3, -(gap - n % 2))")):
+            _sql = _ESIM.format(bar=_bar, alike=_alike, unlike=_unlike)
+            query(f"esim_{_key}_{_name}_{_w}", f"{_sql} SELECT label, round({_FORMULA[_key]}, 6) + 0.0 AS value FROM c")(_sets(lambda s, n, k=_key, t=_thr, w=_w: similarity.esim(k, s, n, t, w)))
+
+# --- diversity
+
+_SHARE = f"WITH {_BITS}, k AS (SELECT label, pos, avg(v) AS p, sum(v) AS b FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS pos FROM p) GROUP BY 1, 2)"
+
+
+def _diverse(frame, measure: str, **options):
+    def run(spark, d):
+        return diversity.diversity(frame(spark, d), measure, "label", **options).withColumn("diversity", _r(F.col("diversity")))
+
+    return run
+
+
+query("diversity_shannon", _SHARE + " SELECT label, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END + CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END), 6) + 0.0 AS diversity FROM k GROUP BY 1")(_diverse(prints, "shannon_entropy"))
+query("diversity_gini", _SHARE + ", r AS (SELECT label, b, row_number() OVER (PARTITION BY label ORDER BY b, pos) AS r FROM k) SELECT label, round(2 * sum(r * b) / (count(*) * sum(b)) - (count(*) + 1) / count(*), 6) + 0.0 AS diversity FROM r GROUP BY 1")(_diverse(prints, "gini_coefficient"))
+query(
+    "diversity_wdud",
+    f"""WITH {_VEC}, x AS (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS pos FROM p),
+m AS (SELECT label, pos, min(v) AS lo, max(v) AS hi, count(*) AS n FROM x GROUP BY 1, 2 HAVING max(v) > min(v)),
+u AS (SELECT label, pos, round((v - lo) / (hi - lo), 6) AS y, count(*) AS c, max(n) AS n FROM x JOIN m USING (label, pos) GROUP BY 1, 2, 3),
+s AS (SELECT label, pos, y AS l, lead(y) OVER w AS u, (sum(c) OVER w) / n AS f FROM u WINDOW w AS (PARTITION BY label, pos ORDER BY y)),
+a AS (SELECT label, pos, CASE WHEN f <= l OR f >= u THEN abs((l + u) / 2 - f) * (u - l)
+  ELSE ((f - l) * (f - l) + (u - f) * (u - f)) / 2 + ((f - l) - floor((f - l) / ((u - l) / 999)) * ((u - l) / 999)) * ((u - l) / 999 - ((f - l) - floor((f - l) / ((u - l) / 999)) * ((u - l) / 999))) END AS d FROM s WHERE u IS NOT NULL),
+c AS (SELECT label, pos, sum(d) AS d FROM a GROUP BY 1, 2) SELECT label, round(avg(d), 6) + 0.0 AS diversity FROM c GROUP BY 1""",
+)(_diverse(vectors, "wdud"))
+_NAT = f"WITH {_BITS}, q AS (SELECT x.label, x.id AS i, y.id AS j, {_DIST('x.e', 'y.e')} AS dist, {_DOT('x.e', 'y.e')} / ({_DOT('x.e', 'x.e')} + {_DOT('y.e', 'y.e')} - {_DOT('x.e', 'y.e')}) AS t FROM p x JOIN p y ON x.label = y.label AND x.id <> y.id), m AS (SELECT label, i, arg_min(t, struct_pack(d := dist, j := j)) AS t FROM q GROUP BY 1, 2), nat AS (SELECT label, avg(t) AS nat, count(*) AS n FROM m GROUP BY 1)"
+
+
+@query("nearest_average_tanimoto", _NAT + " SELECT label, round(nat, 6) + 0.0 AS diversity FROM nat")
+def nearest_average_tanimoto(spark, d):
+    return diversity.nearest_average_tanimoto(prints(spark, d), "label").withColumn("diversity", _r(F.col("diversity")))
+
+
+query("diversity_edi", _NAT + f", e AS (SELECT label, ((1 - nat) / (0.8047 - 0.065 * ln(n)) - log10(n / 25.0)) * {math.sqrt(0.5)!r} AS e FROM nat) SELECT label, round((tanh(e / 3) + 1) / 2 * 100, 6) + 0.0 AS diversity FROM e")(_diverse(prints, "explicit_diversity_index", cs=5.0))
+query("diversity_hypersphere")(_diverse(vectors, "hypersphere_overlap"))
+query("diversity_logdet")(_diverse(vectors, "logdet"))

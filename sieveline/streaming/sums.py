@@ -1,0 +1,12 @@
+"""Column sums of a stream of feature rows: the state that n-ary similarity needs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def column_sums(stream: DataFrame, by: str, vec: str = "features") -> DataFrame:
+    """(by, pos, total, n), kept up to date as rows arrive; write it in complete or update mode."""
+    cells = stream.select(by, F.posexplode(vec).alias("pos", "x"))
+    return cells.groupBy(by, "pos").agg(F.sum("x").alias("total"), F.count("*").alias("n"))
