@@ -91,16 +91,26 @@ def features(slot: np.ndarray, n_features: int, data: np.ndarray, offs: np.ndarr
     return np.log1p(1000.0 * counts.reshape(n, n_features) / np.maximum(size, 200)[:, None])
 
 
+def _rates(data: np.ndarray, offs: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, log rate) of the grams of texts i to i + 100."""
+    part = offs[i : i + 101]
+    text, bucket, size = grams(data[part[0] : part[-1]], part - part[0])
+    key, count = np.unique(text.astype(np.int64) << BITS | bucket, return_counts=True)
+    t = (key >> BITS).astype(np.int32)
+    return t + np.int32(i), (key & ((1 << BITS) - 1)).astype(np.int32), np.log1p(1000.0 * count / np.maximum(size, 200)[t]).astype(np.float32)
+
+
 def mine(data: np.ndarray, offs: np.ndarray, y: np.ndarray, top: int = VOTERS, rounds: int = 6) -> np.ndarray:
     """The buckets whose log rates differ most between the classes, by their t statistic.
 
     By sequential covering: what one round's best grams explain is set aside, so that kinds of
     toxic text which have little in common each get entries of their own.
     """
-    text, bucket, size = grams(data, offs)
-    key, count = np.unique(text.astype(np.int64) << BITS | bucket, return_counts=True)
-    t, b = key >> BITS, key & ((1 << BITS) - 1)
-    v = np.log1p(1000.0 * count / np.maximum(size, 200)[t])
+    parts = [_rates(data, offs, i) for i in range(0, len(y), 100)]  # the grams themselves are held for 100 texts at a time
+    t, b, v = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    del parts
+    common = np.bincount(b, minlength=1 << BITS)[b] >= 5
+    t, b, v = t[common], b[common], v[common]
     live = np.ones(len(y), dtype=bool)
     chosen: list[int] = []
     for _ in range(rounds):
@@ -219,7 +229,7 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
     slot[best] = np.arange(len(best))
     if not len(best):
         return Model(slot, np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))), [], np.zeros((0, 0)))
-    x = features(slot, len(best), data, offs)
+    x = np.vstack([features(slot, len(best), data[offs[i] : offs[min(i + 100, len(y))]], offs[i : i + 101] - offs[i]) for i in range(0, len(y), 100)])
     votes, voters = votes_of(x, y)
     post, rate, corr = label_model(votes, y)
     z = np.hstack([x, votes])
