@@ -160,6 +160,16 @@ def fired(x: np.ndarray, voters: list[dict]) -> np.ndarray:
     return np.array([(summary[v["name"]] if v["kind"] == "pattern" else x[:, v["name"]]) >= v["threshold"] for v in voters], dtype=float).T
 
 
+def balanced(say: np.ndarray, share: float) -> np.ndarray:
+    """Probabilities of log odds say, shifted so that their mean is share."""
+    lo, hi = -200.0, 200.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        p = 1 / (1 + np.exp(-np.clip(say + mid, -30, 30)))
+        lo, hi = (mid, hi) if p.mean() < share else (lo, mid)
+    return p
+
+
 def label_model(votes: np.ndarray, noted: np.ndarray, rounds: int = 12, trust: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of the toxic class, firing rates by class, correlations within the classes).
 
@@ -173,16 +183,15 @@ def label_model(votes: np.ndarray, noted: np.ndarray, rounds: int = 12, trust: f
         for c, w in ((0, 1 - post), (1, post)):
             rate[c] = (w @ votes + 0.5 * votes.mean(0)) / (w.sum() + 0.5)
             right[c] = np.clip((w @ (noted == c)) / w.sum(), 0.55, 0.99)
-        prior = float(np.clip(post.mean(), 0.005, 0.5))
         rate = np.clip(rate, 1e-4, 1 - 1e-4)
         rest = votes - (post[:, None] * rate[1] + (1 - post)[:, None] * rate[0])
         cov = rest.T @ rest / n
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         corr = cov / np.outer(sd, sd)
         share = 1 / np.sqrt(np.maximum(1, (np.clip(corr, 0, 1) ** 2).sum(1)))  # voters that fire together repeat each other
-        say = votes @ (share * np.log(rate[1] / rate[0])) + (1 - votes) @ (share * np.log((1 - rate[1]) / (1 - rate[0])))
+        say = votes @ (share * np.log(rate[1] / rate[0]))  # an abstention says nothing: kinds of toxic text differ
         say += np.where(noted == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
-        new = 1 / (1 + np.exp(-np.clip(say + np.log(prior / (1 - prior)), -30, 30)))
+        new = balanced(say, noted.mean())
         if np.abs(new - post).max() < 1e-4:
             break
         post = new
