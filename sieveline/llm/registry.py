@@ -61,9 +61,9 @@ WITH RECURSIVE d AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d
 ), n AS MATERIALIZED (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
-p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS MATERIALIZED (
-  SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * both >= 85 * (i.c + j.c - both)
+  SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * common >= 85 * (i.c + j.c - common)
 ), r(x, y) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y
 ), m AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
@@ -75,10 +75,10 @@ WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS
 i AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35),
 v AS MATERIALIZED (SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS h FROM i),
 b AS (SELECT doc_id, s FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)),
-g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS at FROM b),
-k AS (SELECT doc_id, list(at) AS gone, count(*) AS c FROM g GROUP BY doc_id),
-x AS (SELECT d.doc_id, d.w, coalesce(k.c, 0) AS n_removed, unnest(range(1, len(d.w) + 1)) AS at FROM d LEFT JOIN k USING (doc_id)),
-y AS (SELECT x.doc_id, string_agg(x.w[x.at], ' ' ORDER BY x.at) AS kept FROM x ANTI JOIN g ON g.doc_id = x.doc_id AND g.at = x.at GROUP BY 1)
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS place FROM b),
+k AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
+x AS (SELECT d.doc_id, d.w, coalesce(k.c, 0) AS n_removed, unnest(range(1, len(d.w) + 1)) AS place FROM d LEFT JOIN k USING (doc_id)),
+y AS (SELECT x.doc_id, string_agg(x.w[x.place], ' ' ORDER BY x.place) AS kept FROM x ANTI JOIN g ON g.doc_id = x.doc_id AND g.place = x.place GROUP BY 1)
 SELECT d.doc_id, cast(len(d.w) AS BIGINT) AS n_words, cast(coalesce(k.c, 0) AS BIGINT) AS n_removed, sha256(coalesce(y.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN y USING (doc_id)
 """
