@@ -8,10 +8,12 @@ band below.  Sets with so many empty parts that only empty ones might agree take
 too.  So each linked pair shares a tile; texts that merely share a passage hardly ever do.
 
 Sets of equal content are one class, collapsed within a task before anything is shuffled.
-Within a tile only the links of a star are kept, which is enough for the clusters of texts
-that share tiles.  Clusters are compared in bounded blocks: XOR-ed bitmaps (one bit for the
-parity of the elements hashed to it) bound the overlap from above, and what passes has its
-sorted arrays intersected, unless the two are already known to be connected.  A cluster too
+Tiles with the same sets are one tile.  Within a tile XOR-ed bitmaps (one bit for the parity of
+the elements hashed to it) bound each overlap from above, and of the pairs that pass a spanning
+forest is kept: enough for the clusters of texts that might be linked.  A tile of more sets than
+TILE_TEXTS keeps the links of a star instead, whose cluster holds all of it.  Clusters are
+compared in bounded blocks: what passes wider bitmaps has its sorted arrays intersected, unless
+the two are already known to be connected.  A cluster too
 large for one block is dealt to several that share a few pivots; then everything outside the
 cluster's largest component is compared with all of the cluster, block by block.  No link is
 lost at any size, and no step holds more than a few blocks.
@@ -34,9 +36,11 @@ from sieveline.llm.components import components
 from sieveline.llm.scratch import written
 from sieveline.llm.textkit import LOWER, blocks, distinct_sets, mix, runs, shingles, signed, without, word_hashes, word_spans
 
-CLASS, HOME, VISITOR, EDGE, META = range(5)
+CLASS, HOME, VISITOR, EDGE, META, TILE = range(6)
 #: Texts and shingles of one block of a cluster, about; and texts that all blocks of a cluster share.
 BLOCK_TEXTS, BLOCK_SHINGLES, PIVOTS = 3000, 2_000_000, 16
+#: Sets of a tile whose bitmaps are compared; 64-bit words of the bitmap of one set at most.
+TILE_TEXTS, SIGNATURE_WORDS = 2048, 512
 
 
 def sets_of(column, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -147,52 +151,167 @@ def tiles(k: int, pct: int):
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key, rows (kind, a, b): META as they are, EDGE from each class's first text to the others, HOME from each tile's first home text to the others."""
+    """From rows sorted by key, rows (kind, a, b).
+
+    META as they are; EDGE from each class's first text to the others; TILE with a number made from
+    a tile's sets and each of them, for tiles that hold a home set and another; HOME from a larger
+    tile's first set to the others.
+    """
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-    held: list[np.ndarray] = []
-    waiting = 0
-    last = None  # (tile, kind, a) of the run that goes on
+    held: dict[int, list[np.ndarray]] = {HOME: [], TILE: []}
+    last = None  # (class, first text) of the run that goes on
+    tile, who, home = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    large = False  # the tile that goes on has had its star begun
 
     def out(kind, a, b):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), a, b], schema=schema)
 
-    def flush():
-        pairs = np.unique(np.concatenate(held), axis=0) if len(held) > 1 else held[0]
-        return out(HOME, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]))
+    def flush(least: int):
+        for kind, parts in held.items():
+            if parts and sum(map(len, parts)) >= least:
+                pairs = np.unique(np.concatenate(parts), axis=0)
+                parts.clear()
+                yield out(kind, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]))
+
+    def settle(end: int, star: bool) -> None:
+        """Keeps what the whole tiles before place end say; of the first only its star if it is large."""
+        if not end:
+            return
+        begins = np.flatnonzero(np.concatenate([[True], tile[1:end] != tile[: end - 1]]))
+        size = np.diff(np.append(begins, end))
+        many = size > TILE_TEXTS
+        many[0] |= star
+        of = np.repeat(np.arange(len(begins)), size)
+        number = np.add.reduceat(mix(who[:end].view(np.uint64) + np.uint64(0xB5)), begins)
+        number = signed(mix(number + size.astype(np.uint64)))
+        use = home[begins] & (size > 1)
+        few, most = (use & ~many)[of], (use & many)[of]
+        most[begins] = False
+        held[TILE].append(np.stack([number[of[few]], who[:end][few]], axis=1))
+        held[HOME].append(np.stack([who[begins[of[most]]], who[:end][most]], axis=1))
 
     for batch in batches:
         key = np.asarray(batch.column(0)).view(np.uint64)
         kind = (key & np.uint64(7)).astype(np.int64)
-        if (kind == META).any():
-            m = pa.array(kind == META)
-            yield out(META, batch.column(1).filter(m), batch.column(2).filter(m))
-        if (kind == EDGE).any():
-            m = pa.array(kind == EDGE)
-            yield out(EDGE, batch.column(1).filter(m), batch.column(2).filter(m))
-        rest = np.flatnonzero(kind <= VISITOR)
+        for k in (META, EDGE):
+            if (kind == k).any():
+                m = pa.array(kind == k)
+                yield out(k, batch.column(1).filter(m), batch.column(2).filter(m))
+        rest = np.flatnonzero(kind == CLASS)
+        if len(rest):
+            a, group = np.asarray(batch.column(1).take(pa.array(rest))), key[rest]
+            if last is not None:
+                group, a = np.append(last[0], group), np.append(last[1], a)
+            lead = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(group)), 0))
+            last = (group[-1], a[lead[-1]])
+            same = a != a[lead]
+            if same.any():
+                yield out(EDGE, pa.array(a[lead][same]), pa.array(a[same]))
+        rest = np.flatnonzero((kind == HOME) | (kind == VISITOR))
         if not len(rest):
             continue
-        a = np.asarray(batch.column(1).take(pa.array(rest)))
-        tile, kind = key[rest] >> np.uint64(3), kind[rest]
-        if last is not None and last[0] == tile[0]:
-            tile, kind, a = np.append(last[0], tile), np.append(last[1], kind), np.append(last[2], a)
-        head = np.ones(len(tile), dtype=bool)
-        head[1:] = tile[1:] != tile[:-1]
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(tile)), 0))
-        last = (tile[-1], kind[lead[-1]], a[lead[-1]])
-        link = (a != a[lead]) & (kind[lead] != VISITOR)
-        same = link & (kind == CLASS)
-        if same.any():
-            yield out(EDGE, pa.array(a[lead][same]), pa.array(a[same]))
-        near = link & (kind != CLASS)
-        if near.any():
-            held.append(np.unique(np.stack([a[lead][near], a[near]], axis=1), axis=0))
-            waiting += len(held[-1])
-            if waiting > 1 << 19:
-                yield flush()
-                held, waiting = [], 0
+        tile = np.append(tile, key[rest] >> np.uint64(3))
+        who = np.append(who, np.asarray(batch.column(1).take(pa.array(rest))))
+        home = np.append(home, kind[rest] == HOME)
+        cut = int(np.searchsorted(tile == tile[-1], True))
+        settle(cut, large)
+        large = large and cut == 0
+        tile, who, home = tile[cut:], who[cut:], home[cut:]
+        if len(tile) > TILE_TEXTS or large:
+            settle(len(tile), True)
+            tile, who, home, large = tile[:1], who[:1], home[:1], True
+        yield from flush(1 << 19)
+    settle(len(tile), large)
+    yield from flush(1)
+
+
+def forest(size: np.ndarray, bits: np.ndarray, pct: int, linked=None) -> list[tuple[int, int]]:
+    """Of the pairs that the bitmaps bits and linked(i, j) leave, one for each join of two components.
+
+    size is ascending.  Two sets differ in at least as many elements as their bitmaps do in bits.
+    """
+    comp = np.arange(len(size))
+    found = []
+    for i in range(len(size) - 1):
+        end = int(np.searchsorted(size, size[i] * 100 // pct, side="right"))
+        others = np.flatnonzero(comp[i + 1 : end] != comp[i]) + i + 1
+        if not len(others):
+            continue
+        apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        both = size[others] + size[i]
+        most = (both - apart) // 2  # the overlap is no larger
+        for j in others[(100 + pct) * most >= pct * both]:
+            if comp[j] != comp[i] and (linked is None or linked(i, j)):
+                found.append((i, int(j)))
+                comp[comp == comp[j]] = comp[i]
+    return found
+
+
+def bitmaps(values: np.ndarray, owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The XOR-ed bitmaps of sets, each of a power of two of words, and where each begins."""
+    at = np.concatenate([[0], np.cumsum(words)])
+    v = mix(values ^ np.uint64(0x1234567))
+    bits = np.zeros(at[-1], dtype=np.uint64)
+    place = ((v >> np.uint64(6)) & (words[owner] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(bits, at[owner] + place, np.uint64(1) << (v & np.uint64(63)))
+    return bits, at
+
+
+def signatures(k: int):
+    """From batches of (doc_id, text), rows (node, n, bits): each set's size and its bitmap, of about a bit for each element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, values, first in sets_of(batch.column(1), k):
+                doc, size = batch.column(0).slice(i, j - i), np.diff(first)
+                words = 1 << np.ceil(np.log2(np.maximum(size / 64, 1))).astype(np.int64)
+                bits, at = bitmaps(values, np.repeat(np.arange(j - i), size), np.minimum(words, SIGNATURE_WORDS))
+                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(bits)])
+                rows = pa.RecordBatch.from_arrays([doc, pa.array(size, pa.int64()), raw], names=["node", "n", "bits"])
+                yield rows.filter(pa.array((size > 0) & ~np.asarray(doc.is_null())))
+
+    return run
+
+
+def sift(pct: int):
+    """From rows (tile, node, n, bits) sorted by tile, pairs (a, b) that connect the sets of a tile that might be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_runs(batches):
+            tile, node, size = (np.asarray(batch.column(c)) for c in ("tile", "node", "n"))
+            raw = batch.column("bits").to_pylist()
+            begins = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            a, b = [], []
+            for begin, end in zip(begins, np.append(begins[1:], len(tile)), strict=True):
+                order = begin + np.argsort(size[begin:end], kind="stable")
+                words = min(len(raw[r]) for r in order) // 8
+                # a wider bitmap is folded to the narrowest: places are hashes modulo a power of two
+                bits = np.array([np.bitwise_xor.reduce(np.frombuffer(raw[r], dtype=np.uint64).reshape(-1, words), axis=0) for r in order])
+                for i, j in forest(size[order], bits, pct):
+                    a.append(node[order[i]])
+                    b.append(node[order[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that do not cut a run of one tile."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile = np.asarray(batch.column("tile"))
+        if held and held[-1].column("tile")[-1].as_py() != tile[0]:
+            yield pa.concat_batches(held)
+            held = []
+        cut = int(np.searchsorted(tile == tile[-1], True))
+        if cut:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
     if held:
-        yield flush()
+        yield pa.concat_batches(held)
 
 
 def links_within(ids: np.ndarray, values: np.ndarray, first: np.ndarray, pct: int) -> list[tuple[int, int]]:
@@ -208,32 +327,17 @@ def links_within(ids: np.ndarray, values: np.ndarray, first: np.ndarray, pct: in
     s = size[order]
     words = int(min(128, max(2, 1 << int(np.ceil(np.log2(max(1, int(np.median(s)) / 32)))))))
     owner = np.repeat(rank, size)
-    use = owner >= 0
-    v = mix(values[use] ^ np.uint64(0x1234567))
-    bits = np.zeros((n, words), dtype=np.uint64)
-    np.bitwise_xor.at(bits, (owner[use], ((v >> np.uint64(6)) % np.uint64(words)).astype(np.int64)), np.uint64(1) << (v & np.uint64(63)))
+    bits, _ = bitmaps(values[owner >= 0], owner[owner >= 0], np.full(n, words))
     sets = [values[first[r] : first[r + 1]] for r in order]
-    comp = np.arange(n)
-    found = []
-    for i in range(n - 1):
-        end = int(np.searchsorted(s, s[i] * 100 // pct, side="right"))
-        others = np.flatnonzero(comp[i + 1 : end] != comp[i]) + i + 1
-        if not len(others):
-            continue
-        apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        both = s[others] + s[i]
-        most = (both - apart) // 2  # the overlap is no larger
-        for j in others[(100 + pct) * most >= pct * both]:
-            if comp[j] == comp[i]:
-                continue
-            x, y = sets[i], sets[j]
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            common = int((y[at] == x).sum())
-            if (100 + pct) * common >= pct * (len(x) + len(y)):
-                found.append((int(ids[order[i]]), int(ids[order[j]])))
-                comp[comp == comp[j]] = comp[i]
-    return found
+
+    def linked(i: int, j: int) -> bool:
+        x, y = sets[i], sets[j]
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        common = int((y[at] == x).sum())
+        return (100 + pct) * common >= pct * (len(x) + len(y))
+
+    return [(int(ids[order[i]]), int(ids[order[j]])) for i, j in forest(s, bits.reshape(n, words), pct, linked)]
 
 
 def compare(k: int, pct: int):
@@ -281,8 +385,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, pct: int = 80, doc_id: st
     found = written(rows.mapInArrow(stars, "kind int, a long, b long"), "tiles")
     sizes = found.where(F.col("kind") == META).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     same = found.where(F.col("kind") == EDGE).select("a", "b")
-    near = found.where(F.col("kind") == HOME).select("a", "b").distinct()
-    near = written(near, "near")
+    shared = found.where(F.col("kind") == TILE).select(F.col("a").alias("tile"), F.col("b").alias("node")).distinct()
+    prints = docs.mapInArrow(signatures(k), "node long, n long, bits binary")
+    shared = shared.join(prints.hint("merge"), "node").select("tile", "node", "n", "bits").repartition("tile").sortWithinPartitions("tile")
+    near = found.where(F.col("kind") == HOME).select("a", "b").unionAll(shared.mapInArrow(sift(pct), "a long, b long"))
+    near = written(near.distinct(), "near")
     verified = None
     if not near.isEmpty():
         clusters = written(components(same.unionAll(near)), "clusters")

@@ -199,3 +199,32 @@ def test_odd_rows(spark, odd):
     none = odd.limit(0)
     assert jaccard.jaccard_components(none).count() == 0 and substring.remove_repeats(none).count() == 0
     assert surrogates.replace_entities(none, key="k").count() == 0 and secret_scan.findings(none).count() == 0
+
+
+@pytest.mark.parametrize("most", [2048, 3])
+def test_tiles_join_all_that_might_be_linked(monkeypatch, most):
+    monkeypatch.setattr(jaccard, "TILE_TEXTS", most)
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    tiles = {t: (rng.randint(0, 7), rng.randint(0, 9)) for t in range(60)}
+    rows, want = [], []
+    for t, (homes, visitors) in tiles.items():
+        nodes = rng.sample(range(1000), homes + visitors)
+        rows += [(t << 3 | (jaccard.HOME if n < homes else jaccard.VISITOR), a) for n, a in enumerate(nodes)]
+        if homes and len(nodes) > 1:
+            want.append(frozenset(nodes))
+    rows.sort(key=lambda r: r[0])
+    batches = [jaccard._emit([k for k, _ in part], pa.array([a for _, a in part], pa.int64()), pa.nulls(len(part), pa.int64())) for part in (rows[i : i + 7] for i in range(0, len(rows), 7))]
+    few, stars = {}, set()
+    for batch in jaccard.stars(iter(batches)):
+        for r in batch.to_pylist():
+            if r["kind"] == jaccard.TILE:
+                few.setdefault(r["a"], set()).add(r["b"])
+            else:
+                assert r["kind"] == jaccard.HOME
+                stars.add((r["a"], r["b"]))
+    assert {frozenset(s) for s in few.values()} == {s for s in want if len(s) <= most}
+    for s in want:
+        if len(s) > most:
+            assert any({(c, x) for x in s if x != c} <= stars for c in s)
