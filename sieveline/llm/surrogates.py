@@ -32,7 +32,7 @@ EITHER = r"Dr\.?|Prof\.?"
 NAME = rf"(?<!\p{{L}})(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}\p{{Ll}}+(?:[\x20-]\p{{Lu}}\p{{Ll}}+)?"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IP, CARD, SSN, PHONE, NAME))
 #: Cheap patterns of which every entity has one.
-HINT = rf"@|\d{{3}}|\d\.\d|(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}"
+HINT = rf"@|\d{{3}}|\d\.\d|\+\d|(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}"
 ROUNDS = 12
 
 _CONSONANTS, _VOWELS = "bcdfghjklmnprstvz", "aeiou"

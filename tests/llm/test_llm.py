@@ -161,6 +161,14 @@ def test_surrogates(spark):
     assert sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
 
 
+def test_hint_holds_for_every_entity(spark):
+    found = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "123-45-6789", "+45 12 34 56 78", "+47-22-33-44", "+1 (555) 123-4567", "(55) 123 456", "Mr. Li", "Госпожа Анна"]
+    rows = spark.createDataFrame([(i, f"at {t} ok") for i, t in enumerate(found)], "doc_id long, text string")
+    assert rows.where(rows.text.rlike(surrogates.ANY)).count() == rows.where(rows.text.rlike(surrogates.HINT)).count() == len(found)
+    got = {r.doc_id: r for r in surrogates.replace_entities(rows, key="k").collect()}
+    assert all(got[i].n_entities == 1 and t not in got[i].text for i, t in enumerate(found))
+
+
 def test_neighbours_recall(spark):
     rows = table(spark, "embeddings").select("vec_id", "embedding")
     bad = spark.createDataFrame([(50, None), (100, [0.0] * 64), (150, [float("nan")] * 64)], rows.schema)
