@@ -7,7 +7,9 @@ probed once each, and only windows around an anchor are compared in full.  Hits
 and an item on one diagonal (equal distance of places) belong together; their slots must be
 filled consistently: one value of the item's stands for one value of the document's and the
 other way round.  So questions asked again with other numbers or names are found, and chance
-overlaps of templates are not.
+overlaps of templates are not.  Where the whole diagonal is not consistent, windows that are
+equal word for word count alone, whatever the other slots hold, and so does a consistent run of
+windows that covers twice as many words.
 
 Defined results: null texts match nothing; items of fewer than MIN_ITEM words are not looked
 for; windows with fewer than MIN_LITERAL literal words are not used.  Rows of equal text and id
@@ -61,6 +63,20 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return b.select("item_id", "item_raw", F.size("item_words").alias("item_size"), "start", "w", "shape", F.col("ranked")[0]["word"].alias("anchor"), F.col("ranked")[0]["offset"].alias("offset"))
 
 
+def longest_run() -> Column:
+    """Windows of a diagonal (starts, w, places) in its longest run whose slots are consistent."""
+    clash = lambda p, q: (p["at"] < q["at"]) & ((p["item"] == q["item"]) != (p["doc"] == q["doc"]))
+    # each place with the last one before it that it clashes with: no run holds both
+    last = F.transform("places", lambda q: F.struct(q["at"].alias("hi"), F.array_max(F.transform(F.filter("places", lambda p: clash(p, q)), lambda p: p["at"])).alias("lo")))
+    bars = F.concat(F.filter(last, lambda b: b["lo"].isNotNull()), F.array(F.struct(F.lit(1 << 30).alias("hi"), F.lit(-1).alias("lo"))))
+
+    def step(st: Column, b: Column) -> Column:
+        n = F.size(F.filter("starts", lambda s: (s > st["lo"]) & (s + F.col("w") <= b["hi"])))
+        return F.struct(F.greatest(st["lo"], b["lo"]).alias("lo"), F.greatest(st["best"], n).alias("best"))
+
+    return F.aggregate(bars, F.struct(F.lit(-1).alias("lo"), F.lit(0).alias("best")), step, lambda st: st["best"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, cover: int = COVER) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, n_covered, n_slots): a row for each document and item of which it holds a passage."""
     items = item_windows(benchmark, window)
@@ -72,18 +88,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id:
     begin = F.col("_at") - F.col("offset")
     hits = d.join(items, (F.col("_word") == F.col("anchor")) & (begin >= 0) & (F.slice("_words", F.greatest(begin, F.lit(0)) + 1, F.col("w")) == F.col("shape")))
     raw = words_of(F.col("_text"))
-    slot = lambda i, x: F.when(~literal(x), F.struct(F.element_at("item_raw", F.col("start") + i + 1).alias("item"), F.element_at("_raw", F.col("begin") + i + 1).alias("doc")))
+    slot = lambda i, x: F.when(~literal(x), F.struct((F.col("start") + i).alias("at"), F.element_at("item_raw", F.col("start") + i + 1).alias("item"), F.element_at("_raw", F.col("begin") + i + 1).alias("doc")))
     hits = hits.select("doc_id", F.xxhash64("_text").alias("text_hash"), "item_id", "item_size", "item_raw", "start", "w", "shape", begin.alias("begin"), raw.alias("_raw"))
-    hits = hits.withColumn("slots", F.filter(F.transform("shape", lambda x, i: slot(i, x)), lambda s: s.isNotNull()))
+    part = lambda c, at: F.transform(F.slice(c, F.col(at) + 1, F.col("w")), F.lower)
+    hits = hits.withColumn("slots", F.filter(F.transform("shape", lambda x, i: slot(i, x)), lambda s: s.isNotNull())).withColumn("same", part("item_raw", "start") == part("_raw", "begin"))
     lines = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("begin") - F.col("start")).alias("diagonal")).agg(
-        F.size(F.collect_set("start")).alias("n_windows"),
+        F.collect_set("start").alias("starts"),
+        F.size(F.collect_set(F.when(F.col("same"), F.col("start")))).alias("n_same"),
         F.max("w").alias("w"),
         F.max("item_size").alias("item_size"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("slots")))).alias("places"),
     )
+    lines = lines.withColumn("n_windows", F.size("starts")).withColumn("slots", F.array_distinct(F.transform("places", lambda p: F.struct(p["item"], p["doc"]))))
     one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))
     lines = lines.withColumn("n_covered", F.col("n_windows") + F.col("w") - 1).withColumn("n_slots", F.size("slots"))
-    good = lines.where((F.col("n_covered") >= F.least(F.lit(cover), F.col("item_size"))) & (one("item") == F.col("n_slots")) & (one("doc") == F.col("n_slots")))
+    enough = F.least(F.lit(cover), F.col("item_size"))
+    whole = (F.col("n_covered") >= enough) & (one("item") == F.col("n_slots")) & (one("doc") == F.col("n_slots"))
+    same = (F.col("n_same") > 0) & (F.col("n_same") + F.col("w") - 1 >= enough)
+    good = lines.where(F.when(whole | same, True).when(F.col("n_covered") < 2 * cover, False).otherwise(longest_run() + F.col("w") - 1 >= 2 * cover))
     return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"), F.max("n_covered").cast("long").alias("n_covered"), F.max("n_slots").cast("long").alias("n_slots"))
 
 

@@ -150,6 +150,19 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [2, 3, 4]
 
 
+def test_decontamination_of_inconsistent_copies(spark):
+    word = lambda n: "".join("bcdfghklmn"[int(c)] + "aeiou"[int(c) % 5] for c in f"{n:03d}")
+    passage = lambda number: " ".join(str(number(n)) if n % 6 == 3 else word(n) for n in range(100))
+    item = passage(lambda n: 5 if n in (9, 57) else n)
+    copy = item.replace("5 " + word(58), "6 " + word(58))  # one number changed of two that were equal
+    asked = passage(lambda n: 1000 + (5 if n in (9, 15, 57) else n))  # all numbers are others, and two that differed are equal
+    mixed = passage(lambda n: n % 2)  # no run is consistent
+    docs = spark.createDataFrame([(1, copy), (2, asked), (3, mixed), (4, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert copy != item and {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == {1, 2, 4}
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [3]
+
+
 def test_surrogates(spark):
     rows = [(1, "Mr. John Smith and Mrs. Anna Smith, Mr. Smith; a.b@X.org A.B@x.org +1 (017) 555-7713 and +1 017 555 7713; 4111 1111 1111 1111"), (2, None), (3, "plain"), (4, "Mr. John Smith")]
     got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
