@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Numbers, units after numbers and capitalised names inside sentences become typed placeholders;
-the rest is lower-cased.  Windows of template words are joined by hash: every window of a
-benchmark item is known by its anchor, its longest literal word, so that a document's words are
-probed once each, and only windows around an anchor are compared in full.  Hits of a document
+White space is made even, then each text has three forms: all words lower-cased; a template with
+typed placeholders for numbers, units after numbers and capitalised names inside sentences; and
+one in which every capitalised word is a name, so that names that begin sentences may differ.
+Windows match if they are equal in any form.  They are joined by hash: every window of a
+benchmark item is known by its anchor, its longest word that is literal in all forms, so that a
+document's words are probed once each, and only windows around an anchor are compared in full.  Hits of a document
 and an item on one diagonal (equal distance of places) belong together; their slots must be
 filled consistently: one value of the item's stands for one value of the document's and the
 other way round.  So questions asked again with other numbers or names are found, and chance
@@ -12,7 +14,7 @@ equal word for word count alone, whatever the other slots hold, and so does a co
 windows that covers twice as many words.
 
 Defined results: null texts match nothing; items of fewer than MIN_ITEM words are not looked
-for; windows with fewer than MIN_LITERAL literal words are not used.  Rows of equal text and id
+for; a form of a window with fewer than MIN_LITERAL literal words is not used.  Rows of equal text and id
 count once.
 """
 
@@ -35,32 +37,43 @@ UNITS = "km|cm|mm|m|mi|miles|ft|feet|in|inches|kg|g|mg|lb|lbs|oz|l|ml|s|sec|seco
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")
-
-
-def template(text: Column) -> Column:
-    """text with placeholders, lower-cased; white space stays where it is."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]", "?")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;]\x20)\p{Lu}\p{Ll}+", NAME)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])[+-]?\d+(?:[.,:/]\d+)*", NUMBER)
-    t = F.regexp_replace(t, rf"(?i)({NUMBER}\x20?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
-    return F.lower(t)
+def with_forms(rows: DataFrame, text: str) -> DataFrame:
+    """rows with plain, inner and named: the words of text lower-cased, with names inside sentences as placeholders, and with all capitalised words so."""
+    even = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\u0001-\u0003]", "?"), _SPACE, " "))
+    # a unit's placeholder ends in a letter as far as a name behind it goes
+    slots = F.regexp_replace(F.col("_even"), r"(?<![\p{L}\p{N}])[+-]?\d+(?:[.,:/]\d+)*", NUMBER)
+    slots = F.regexp_replace(slots, rf"(?i)({NUMBER}\x20?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
+    rows = rows.withColumn("_even", even).withColumn("_slots", slots)
+    words = lambda t: F.filter(F.split(F.lower(t), "\x20"), lambda w: w != "")
+    inner = F.regexp_replace("_slots", rf"(?<=[\p{{Ll}},;{UNIT}]\x20)\p{{Lu}}\p{{Ll}}+", NAME)
+    named = F.regexp_replace("_slots", r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+", NAME)
+    return rows.withColumns({"plain": words(F.col("_even")), "inner": words(inner), "named": words(named)}).drop("_even", "_slots")
 
 
 def literal(word: Column) -> Column:
     return ~word.rlike("[\u0001-\u0003]")
 
 
+FORMS = ("plain", "inner", "named")
+
+
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, item_words, item_raw, start, shape, anchor, offset) of each usable window of each item."""
-    b = benchmark.select("item_id", words_of(template(F.col("text"))).alias("item_words"), words_of(F.col("text")).alias("item_raw"))
-    b = b.where(F.size("item_words") >= MIN_ITEM).distinct().withColumn("w", F.least(F.lit(window), F.size("item_words")))
-    b = b.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("item_words") - F.col("w"))))
-    b = b.withColumn("shape", F.slice("item_words", F.col("start") + 1, F.col("w")))
-    ranked = F.array_sort(F.filter(F.transform("shape", lambda x, i: F.when(literal(x), F.struct((-F.length(x)).alias("l"), x.alias("word"), i.alias("offset")))), lambda s: s.isNotNull()))
-    b = b.withColumn("ranked", ranked).where(F.size("ranked") >= F.least(F.lit(MIN_LITERAL), F.col("w")))
-    return b.select("item_id", "item_raw", F.size("item_words").alias("item_size"), "start", "w", "shape", F.col("ranked")[0]["word"].alias("anchor"), F.col("ranked")[0]["offset"].alias("offset"))
+    """(item_id, item_size, start, w, plain, inner, named, anchor, offset) of each window of each item; forms that are not used are null."""
+    b = with_forms(benchmark.select("item_id", "text"), "text").drop("text")
+    b = b.where(F.size("plain") >= MIN_ITEM).distinct().withColumn("item_size", F.size("plain")).withColumn("w", F.least(F.lit(window), F.col("item_size")))
+    b = b.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("item_size") - F.col("w"))))
+    b = b.withColumns({f: F.slice(f, F.col("start") + 1, F.col("w")) for f in FORMS})
+    # words by the forms in which they are literal (0: all), never numbers or units
+    free = lambda form, i: literal(F.get(form, i))
+    fixed = lambda x, i: ~F.get("inner", i).rlike(f"[{NUMBER}{UNIT}]")
+    rank = lambda x, i: F.when(free("named", i), 0).when(free("inner", i), 1).when(fixed(x, i), 2)
+    ranked = F.transform("plain", lambda x, i: F.when(rank(x, i).isNotNull(), F.struct(rank(x, i).alias("rank"), (-F.length(x)).alias("l"), x.alias("word"), i.alias("offset"))))
+    b = b.withColumn("ranked", F.array_sort(F.filter(ranked, lambda s: s.isNotNull())))
+    least = F.least(F.lit(MIN_LITERAL), F.col("w"))
+    used = lambda form, top: F.when(F.size(F.filter("ranked", lambda s: s["rank"] <= top)) >= least, F.col(form))
+    b = b.withColumn("places", F.transform("named", lambda x, i: F.when(~free("inner", i), 1).when(~literal(x), 2)))
+    b = b.withColumns({"low": F.col("plain"), "plain": used("plain", 2), "inner": used("inner", 1), "named": used("named", 0)}).where("plain is not null")
+    return b.select("item_id", "item_size", "start", "w", "low", "places", *FORMS, F.col("ranked")[0]["word"].alias("anchor"), F.col("ranked")[0]["offset"].alias("offset"))
 
 
 def longest_run() -> Column:
@@ -83,28 +96,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id:
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    d = d.select("doc_id", "_text", words_of(template(F.col("_text"))).alias("_words"))
-    d = d.select("doc_id", "_text", "_words", F.posexplode("_words").alias("_at", "_word"))
+    d = with_forms(d, "_text").withColumnsRenamed({f: f"_{f}" for f in FORMS})
+    d = d.select("doc_id", "_text", *[f"_{f}" for f in FORMS], F.posexplode("_plain").alias("_at", "_word"))
     begin = F.col("_at") - F.col("offset")
-    hits = d.join(items, (F.col("_word") == F.col("anchor")) & (begin >= 0) & (F.slice("_words", F.greatest(begin, F.lit(0)) + 1, F.col("w")) == F.col("shape")))
-    raw = words_of(F.col("_text"))
-    slot = lambda i, x: F.when(~literal(x), F.struct((F.col("start") + i).alias("at"), F.element_at("item_raw", F.col("start") + i + 1).alias("item"), F.element_at("_raw", F.col("begin") + i + 1).alias("doc")))
-    hits = hits.select("doc_id", F.xxhash64("_text").alias("text_hash"), "item_id", "item_size", "item_raw", "start", "w", "shape", begin.alias("begin"), raw.alias("_raw"))
-    part = lambda c, at: F.transform(F.slice(c, F.col(at) + 1, F.col("w")), F.lower)
-    hits = hits.withColumn("slots", F.filter(F.transform("shape", lambda x, i: slot(i, x)), lambda s: s.isNotNull())).withColumn("same", part("item_raw", "start") == part("_raw", "begin"))
+    part = lambda form: F.slice(f"_{form}", F.greatest(begin, F.lit(0)) + 1, F.col("w"))
+    equal = (part("plain") == F.col("plain")) | (part("inner") == F.col("inner")) | (part("named") == F.col("named"))
+    hits = d.join(items, (F.col("_word") == F.col("anchor")) & (begin >= 0) & equal)
+    pair = lambda x, i: F.struct((F.col("start") + i).alias("at"), x.alias("item"), F.get("_low", i).alias("doc"), F.get("places", i).alias("by"))
+    hits = hits.select("doc_id", F.xxhash64("_text").alias("text_hash"), "item_id", "item_size", "start", "w", "low", "places", begin.alias("begin"), part("plain").alias("_low"), F.coalesce((part("plain") == F.col("plain")) | (part("inner") == F.col("inner")), F.lit(False)).alias("strict"))
+    slots = F.transform("low", lambda x, i: F.when(F.get("places", i).isNotNull(), pair(x, i)))
+    hits = hits.withColumn("slots", F.filter(slots, lambda s: s.isNotNull())).withColumn("same", F.col("low") == F.col("_low"))
     lines = hits.groupBy("doc_id", "text_hash", "item_id", (F.col("begin") - F.col("start")).alias("diagonal")).agg(
         F.collect_set("start").alias("starts"),
         F.size(F.collect_set(F.when(F.col("same"), F.col("start")))).alias("n_same"),
+        F.size(F.collect_set(F.when(F.col("strict"), F.col("start")))).alias("n_strict"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("strict"), F.col("slots"))))).alias("strict_places"),
         F.max("w").alias("w"),
         F.max("item_size").alias("item_size"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("slots")))).alias("places"),
     )
-    lines = lines.withColumn("n_windows", F.size("starts")).withColumn("slots", F.array_distinct(F.transform("places", lambda p: F.struct(p["item"], p["doc"]))))
-    one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))
+    values = lambda places: F.array_distinct(F.transform(places, lambda p: F.struct(p["item"], p["doc"])))
+    one = lambda slots, side: F.size(F.array_distinct(F.transform(slots, lambda s: s[side]))) == F.size(slots)
+    lines = lines.withColumn("n_windows", F.size("starts")).withColumn("slots", values("places")).withColumn("strict_slots", values(F.filter("strict_places", lambda p: p["by"] == 1)))
     lines = lines.withColumn("n_covered", F.col("n_windows") + F.col("w") - 1).withColumn("n_slots", F.size("slots"))
     enough = F.least(F.lit(cover), F.col("item_size"))
-    whole = (F.col("n_covered") >= enough) & (one("item") == F.col("n_slots")) & (one("doc") == F.col("n_slots"))
-    same = (F.col("n_same") > 0) & (F.col("n_same") + F.col("w") - 1 >= enough)
+    reach = lambda n: (F.col(n) > 0) & (F.col(n) + F.col("w") - 1 >= enough)
+    # the looser form must not clear what the stricter ones find alone
+    whole = reach("n_windows") & one("slots", "item") & one("slots", "doc") | reach("n_strict") & one("strict_slots", "item") & one("strict_slots", "doc")
+    same = reach("n_same")
     good = lines.where(F.when(whole | same, True).when(F.col("n_covered") < 2 * cover, False).otherwise(longest_run() + F.col("w") - 1 >= 2 * cover))
     return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"), F.max("n_covered").cast("long").alias("n_covered"), F.max("n_slots").cast("long").alias("n_slots"))
 

@@ -163,6 +163,27 @@ def test_decontamination_of_inconsistent_copies(spark):
     assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [3]
 
 
+def test_decontamination_of_other_writings(spark):
+    items = [
+        (1, "Tom has 5 apples. Tom gives 2 apples to his friend. Tom buys 9 pears after lunch."),
+        (2, "yesterday she met Anna in town and paid 60 km fare"),
+        (3, "Tom counts 7 green sheep"),
+        (4, "We drove, Maria told us, for 90 km along the coast until Peter fell asleep near the harbour"),
+        (5, "Pride And Prejudice By Jane Austen"),
+    ]
+    texts = {
+        1: "Max has 6 apples. Max gives 3 apples to his friend. Max buys 8 pears after lunch.",
+        2: "Yesterday she\nmet  Anna in town\nand paid 60\nkm fare",
+        3: "now: Eve counts 8 green sheep",
+        4: items[3][1].lower().replace(" ", "  "),
+        5: "of pride and prejudice\nby jane austen we read",
+        6: "yesterday she met Anna out of town and paid 60 km fare",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(n, n) for n in range(1, 6)]
+
+
 def test_surrogates(spark):
     rows = [(1, "Mr. John Smith and Mrs. Anna Smith, Mr. Smith; a.b@X.org A.B@x.org +1 (017) 555-7713 and +1 017 555 7713; 4111 1111 1111 1111"), (2, None), (3, "plain"), (4, "Mr. John Smith")]
     got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
