@@ -6,7 +6,9 @@ hash of its normal form, so the same entity gets the same surrogate wherever and
 written; it keeps type, script, letter case, length and format, a card number's check-digit
 remainder, and for names the gender that a form of address tells.  Distinct atoms keep distinct
 surrogates: those that collide with one another, or with any original, are drawn again, the
-smaller normal form keeping its own, until none is left.
+smaller normal form keeping its own; addresses and names grow where their values run short, and
+numbers that still collide after ROUNDS draws are dealt the free values of their form.  Only a
+form with fewer values than originals and surrogates together raises.
 
 Defined results: null texts stay null; texts without entities stay as they are; repeated rows
 each get the same text.
@@ -14,7 +16,7 @@ each get the same text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.scratch import written
@@ -33,6 +35,7 @@ NAME = rf"(?<!\p{{L}})(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}\p{{Ll}}+(?:[\x20-]\
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IP, CARD, SSN, PHONE, NAME))
 #: Cheap patterns of which every entity has one.
 HINT = rf"@|\d{{3}}|\d\.\d|\+\d|(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}"
+#: Rounds of random draws for numbers, before the rest is dealt out among free values.
 ROUNDS = 12
 
 _CONSONANTS, _VOWELS = "bcdfghjklmnprstvz", "aeiou"
@@ -100,7 +103,10 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = domain.substr(F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(like(local, stream), F.lit("@"), like(host, h(F.lit("domain"), host)), F.lit("."), top)
+    # after four attempts, further letters, so that the values do not run out
+    more = F.floor(attempt / 4).cast("int")
+    tail = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick("abcdefghijklmnopqrstuvwxyz", _draw(stream, i + 40, 26))), "")).otherwise("")
+    email = F.concat(like(local, stream), tail, F.lit("@"), like(host, h(F.lit("domain"), host)), F.lit("."), top)
     size = F.greatest(F.length(norm), F.lit(2)) + F.floor(attempt / 4).cast("int")
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
 
@@ -114,6 +120,37 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), digits).otherwise(name)
 
 
+def free_values(pending: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """pending numbers with a surrogate each that is not among taken (family, surrogate), by rank among the free values of their form.
+
+    Of the first p + t values of a form, t of them taken at most, p are free.
+    """
+    number = F.when(F.col("kind") == "phone", F.col("plain")).otherwise(F.col("norm"))
+    octet = F.substring_index("norm", ".", 1)
+    fixed = F.when(F.col("kind") == "phone", number.substr(F.lit(1), F.substring_index("norm", ":", 1).cast("int")))
+    fixed = fixed.when(F.col("kind") == "card", number.substr(1, 1)).when((F.col("kind") == "ip") & octet.isin("10", "127", "192", "172"), F.concat(octet, F.lit("."))).otherwise("")
+    check = F.when(F.col("kind") == "card", _luhn(number)).otherwise(F.lit(-1))
+    form = ["family", "fixed", "digits", "check"]
+    p = pending.withColumns({"fixed": fixed, "digits": F.when(F.col("kind") == "ip", 0).otherwise(F.length(number)), "check": check})
+    p = p.withColumn("rank", F.row_number().over(Window.partitionBy(*form).orderBy(F.sha2(F.concat_ws("\u001f", F.lit(key), "kind", "norm"), 256), "norm")))
+    forms = p.groupBy(*form).agg(F.count("*").alias("p"))
+    near = forms.join(taken.distinct(), "family").where(F.col("surrogate").startswith(F.col("fixed")) & ((F.col("digits") == 0) | (F.length("surrogate") == F.col("digits"))))
+    forms = forms.join(near.groupBy(*form).agg(F.count("*").alias("t")), form, "left")
+    places = F.when(F.col("family") == "ip", F.when(F.col("fixed") == "", 4).otherwise(3)).otherwise(F.least(F.col("digits") - F.length("fixed") - (F.col("check") >= 0).cast("int"), F.lit(15)))
+    space = F.pow(F.when(F.col("family") == "ip", 223).otherwise(10), places).cast("long")
+    values = forms.withColumn("places", places).withColumn("space", space).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("p") + F.coalesce("t", F.lit(0)), F.col("space")) - 1)))
+    # a keyed beginning, so that the values do not begin at 0 for every form
+    first = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", F.lit(key), *form), 256), 1, 12), 16, 10).cast("long")
+    value = (F.col("i") + first) % F.col("space")
+    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.col("places").cast("int")), lambda k: (F.floor(value / F.pow(F.lit(223), k - 1)).cast("long") % 223 + 1).cast("string")), ".")
+    free = F.col("digits") - F.length("fixed") - (F.col("check") >= 0).cast("int")
+    plain = F.concat("fixed", F.lpad(value.cast("string"), free, "0"))
+    plain = F.when(F.col("check") < 0, plain).otherwise(F.concat(plain, ((F.col("check") - _luhn(F.concat(plain, F.lit("0"))) + 10) % 10).cast("string")))
+    values = values.withColumn("surrogate", F.when(F.col("family") == "ip", F.concat("fixed", octets)).otherwise(plain))
+    values = values.join(taken, ["family", "surrogate"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy(*form).orderBy("i")))
+    return p.join(values.select(*form, "rank", "surrogate"), [*form, "rank"]).select(*pending.columns, "surrogate")
+
+
 def assign(atoms: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) of distinct atoms (kind, norm), surrogates distinct within a family and from all originals."""
     family = F.when(F.col("kind").rlike("name"), "name").otherwise(F.col("kind"))
@@ -121,18 +158,29 @@ def assign(atoms: DataFrame, key: str) -> DataFrame:
     atoms = written(atoms.select("kind", "norm", family.alias("family"), bare("norm").alias("plain")), "atoms")
     originals = atoms.select("family", F.col("plain").alias("surrogate")).distinct()
     pending, settled = atoms.withColumn("attempt", F.lit(0)), None
-    for n in range(ROUNDS):
-        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.lit(n), key))
+    n = 0
+    while True:
+        drawn = pending
+        if n >= ROUNDS:
+            # names and addresses grow from round to round; numbers cannot
+            drawn = pending.where(F.col("family").isin("name", "email"))
+        drawn = drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.lit(n), key))
+        if n >= ROUNDS:
+            taken = originals.unionByName(settled.select("family", "surrogate"))
+            drawn = drawn.unionByName(free_values(pending.where(~F.col("family").isin("name", "email")), taken, key), allowMissingColumns=True)
         keeps = drawn.groupBy("family", "surrogate").agg(F.min(F.struct("norm", "kind")).alias("first"))
         keeps = keeps.join(originals, ["family", "surrogate"], "left_anti")
         if settled is not None:
             keeps = keeps.join(settled.select("family", "surrogate"), ["family", "surrogate"], "left_anti")
         won = keeps.select("family", "surrogate", F.col("first.norm").alias("norm"), F.col("first.kind").alias("kind"))
         settled = written(won if settled is None else settled.unionByName(won), "settled")
-        pending = written(atoms.join(settled, ["kind", "norm"], "left_anti"), "pending")
-        if pending.isEmpty():
+        left = written(atoms.join(settled, ["kind", "norm"], "left_anti").withColumn("attempt", F.lit(n + 1)), "pending")
+        if left.isEmpty():
             return settled.select("kind", "norm", "surrogate")
-    raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
+        numbers = ~F.col("family").isin("name", "email")
+        if n >= ROUNDS and not left.where(numbers).isEmpty() and left.where(numbers).count() == pending.where(numbers).count():
+            raise RuntimeError("a form of number has fewer values than there are originals and surrogates to tell apart")
+        pending, n = left, n + 1
 
 
 def _tag(kind: Column, norm: Column) -> Column:

@@ -203,6 +203,23 @@ def test_hint_holds_for_every_entity(spark):
     assert all(got[i].n_entities == 1 and t not in got[i].text for i, t in enumerate(found))
 
 
+def test_surrogates_where_values_run_short(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ROUNDS", 2)
+    emails = [("email", f"{c}@x.org") for c in "0123456789"]
+    phones = [("phone", f"2:12{n:02d}") for n in range(45)]  # 45 originals, 55 free values
+    ips = [("ip", f"10.0.0.{n}") for n in range(5)] + [("card", "4111111111111111"), ("surname", "Li"), ("name_m", "Li")]
+    got = surrogates.assign(spark.createDataFrame(emails + phones + ips, "kind string, norm string"), "k").collect()
+    given = [("name" if "name" in r.kind else r.kind, r.surrogate) for r in got]
+    assert len(given) == len(set(given)) == 63
+    assert not {s for _, s in given} & ({n for _, n in emails + ips} | {n[2:] for _, n in phones})
+    assert all(len(r.surrogate) == 4 and r.surrogate.startswith("12") for r in got if r.kind == "phone")
+    frame = spark.createDataFrame([("phone", "phone", "1:15", "15"), ("ip", "ip", "10.0.0.1", "10.0.0.1"), ("card", "card", "4111111111111111", "4111111111111111")], "kind string, family string, norm string, plain string")
+    taken = spark.createDataFrame([("phone", f"1{n}") for n in range(9)], "family string, surrogate string")
+    dealt = {r.kind: r.surrogate for r in surrogates.free_values(frame, taken, "k").collect()}
+    assert dealt["phone"] == "19" and re.fullmatch(r"10(\.\d{1,3}){3}", dealt["ip"]) and re.fullmatch(r"4\d{15}", dealt["card"])
+    assert sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(dealt["card"])) % 10 == 0
+
+
 def test_neighbours_recall(spark):
     rows = table(spark, "embeddings").select("vec_id", "embedding")
     bad = spark.createDataFrame([(50, None), (100, [0.0] * 64), (150, [float("nan")] * 64)], rows.schema)
