@@ -10,6 +10,11 @@ smaller normal form keeping its own; addresses and names grow where their values
 numbers that still collide after ROUNDS draws are dealt the free values of their form.  Only a
 form with fewer values than originals and surrogates together raises.
 
+A person is found by a form of address; then each of the person's names is replaced wherever it
+stands as a whole word in the same text, in its own letters or in capitals.  Phone numbers are
+found by +, brackets or the groups of PLAIN.  A person that no form of address names in a text
+is not found there.
+
 Defined results: null texts stay null; texts without entities stay as they are; repeated rows
 each get the same text.
 """
@@ -27,14 +32,16 @@ IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)"
 CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)"
+#: Phone numbers without a country's code or brackets: 555-123-4567, 06 12 34 56 78.
+PLAIN = r"(?<![\d.+])(?<!\d[ -])(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3}\x20\d{3}\x20\d{4}|0\d(?:[ .-]\d{2}){4})(?![\d.-]*\d)"
 #: Forms of address, for men, for women and for either.
 MEN = r"Mr\.?|Herr|Señor|Sr\.|Monsieur|Господин"
 WOMEN = r"Mrs\.?|Ms\.?|Frau|Señora|Sra\.|Madame|Mme|Госпожа"
 EITHER = r"Dr\.?|Prof\.?"
 NAME = rf"(?<!\p{{L}})(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}\p{{Ll}}+(?:[\x20-]\p{{Lu}}\p{{Ll}}+)?"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IP, CARD, SSN, PHONE, NAME))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, IP, CARD, SSN, PHONE, PLAIN, NAME))
 #: Cheap patterns of which every entity has one.
-HINT = rf"@|\d{{3}}|\d\.\d|\+\d|(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}"
+HINT = rf"@|\d{{3}}|\d\.\d|\+\d|0\d[ -]\d\d[ -]|(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}"
 #: Rounds of random draws for numbers, before the rest is dealt out among free values.
 ROUNDS = 12
 
@@ -204,6 +211,19 @@ def rewritten(surface: Column, known: Column) -> Column:
     return F.when(kind.isin("email", "ip"), got[0]).when(kind == "name", person).otherwise(spread)
 
 
+def name_in(names: Column, word: Column) -> Column:
+    """The surrogate of a word that is one of names (norm, second, kind, surrogate), or null."""
+    same = F.get(F.filter(names, lambda n: n.norm == word), F.lit(0)).surrogate
+    capitals = F.get(F.filter(names, lambda n: F.upper(n.norm) == word), F.lit(0)).surrogate
+    return F.coalesce(same, F.upper(capitals))
+
+
+def _mentions(part: Column, names: Column) -> Column:
+    """part in words and what is between them, if it holds a name; null otherwise."""
+    held = F.exists(names, lambda n: part.contains(n.norm) | part.contains(F.upper(n.norm)))
+    return F.when(held, F.regexp_extract_all(part, F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"), F.lit(0)))
+
+
 def replace_entities(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     """docs with entities replaced in text, and n_entities, their number."""
     docs = without(docs, "n_entities", "_key")
@@ -214,10 +234,21 @@ def replace_entities(docs: DataFrame, *, key: str, text: str = "text") -> DataFr
     texts = written(texts, "entities")
     tags = texts.select("_key", F.explode(F.array_distinct("found")).alias("s")).select("_key", F.inline(atoms_of(F.col("s")))).distinct()
     table = assign(tags.select("kind", "norm").distinct(), key)
-    known = tags.join(table, ["kind", "norm"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(_tag(F.col("kind"), F.col("norm")), "surrogate"))).alias("known"))
-    new = texts.join(known, "_key").select("_key", "parts", F.transform("found", lambda s: rewritten(s, F.col("known"))).alias("with"))
+    # a name alone is taken for a surname first
+    person = F.when(F.col("kind").rlike("name"), F.struct("norm", (F.col("kind") != "surname").alias("second"), "kind", "surrogate"))
+    known = tags.join(table, ["kind", "norm"]).groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.struct(_tag(F.col("kind"), F.col("norm")), "surrogate"))).alias("known"),
+        F.array_sort(F.collect_list(person)).alias("names"),
+    )
+    new = texts.join(known, "_key").select("_key", "parts", "names", F.transform("found", lambda s: rewritten(s, F.col("known"))).alias("with"))
+    # each part between entities: its text, and how many names stand in it
+    words = F.transform("parts", lambda p: F.struct(p.alias("part"), _mentions(p, F.col("names")).alias("words")))
+    named = F.transform("words", lambda p: F.struct(p.part.alias("part"), p.words.alias("words"), F.transform(p.words, lambda w: name_in(F.col("names"), w)).alias("by")))
+    told = F.transform("named", lambda p: F.struct(F.when(p.by.isNull(), p.part).otherwise(F.array_join(F.zip_with(p.words, p.by, lambda w, b: F.coalesce(b, w)), "")).alias("part"), F.coalesce(F.size(F.filter(p.by, lambda b: b.isNotNull())), F.lit(0)).alias("n")))
+    new = new.withColumn("words", words).withColumn("named", named).withColumn("told", told)
+    new = new.withColumn("parts", F.col("told.part")).withColumn("more", F.aggregate("told", F.lit(0), lambda a, p: a + F.greatest(p.n, F.lit(0))))
     joined = F.concat(F.array_join(F.zip_with(F.slice("parts", F.lit(1), F.size("with")), "with", lambda p, w: F.concat(p, w)), ""), F.element_at("parts", -1))
-    new = new.select("_key", joined.alias("_new"), F.size("with").cast("long").alias("n_entities"))
+    new = new.select("_key", joined.alias("_new"), (F.size("with") + F.col("more")).cast("long").alias("n_entities"))
     replaced = held.join(new, "_key").withColumn(text, F.col("_new")).drop("_key", "_new")
     return clean.unionByName(replaced)
 

@@ -196,13 +196,29 @@ def test_surrogates(spark):
 
 
 def test_hint_holds_for_every_entity(spark):
-    found = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "123-45-6789", "+45 12 34 56 78", "+47-22-33-44", "+1 (555) 123-4567", "(55) 123 456", "Mr. Li", "Госпожа Анна"]
+    found = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "123-45-6789", "+45 12 34 56 78", "+47-22-33-44", "+1 (555) 123-4567", "(55) 123 456", "555.123.4567", "06 12 34 56 78", "06-12-34-56-78", "06.12.34.56.78", "Mr. Li", "Госпожа Анна"]
     rows = spark.createDataFrame([(i, f"at {t} ok") for i, t in enumerate(found)], "doc_id long, text string")
     assert rows.where(rows.text.rlike(surrogates.ANY)).count() == rows.where(rows.text.rlike(surrogates.HINT)).count() == len(found)
     got = {r.doc_id: r for r in surrogates.replace_entities(rows, key="k").collect()}
     assert all(got[i].n_entities == 1 and t not in got[i].text for i, t in enumerate(found))
 
 
+def test_surrogates_of_later_mentions(spark):
+    rows = [
+        (1, "Mr. John Smith called. Smith (John Smith) said SMITH's dog, Smithson and smith."),
+        (2, "Smith and John stay"),
+        (3, "call 555-123-4567 or (555) 123-4567, 1 555 123 4567, 06 12 34 56 78; not 12-05-2024, 2001-555-123-4567"),
+        (4, "Smith saw Herr Smith"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    m = re.match(r"Mr\. (\w+) (\w+) called\. (\w+) \((\w+) (\w+)\) said (\w+)'s dog, Smithson and smith\.$", got[1].text)
+    assert m and m[2] == m[3] == m[5] and m[1] == m[4] and m[6] == m[2].upper() and got[1].n_entities == 5
+    assert "John" not in got[1].text and m[2] != "Smith" and got[2].text == rows[1][1] and got[2].n_entities == 0
+    p = re.match(r"call (\d{3})-(\d{3})-(\d{4}) or \((\d{3})\) (\d{3})-(\d{4}), (\d) (\d{3}) (\d{3}) (\d{4}), (\d\d(?: \d\d){4}); not 12-05-2024, 2001-555-123-4567$", got[3].text)
+    assert p and p.groups()[:3] == p.groups()[3:6] != ("555", "123", "4567") and p[11] != "06 12 34 56 78" and got[3].n_entities == 4
+    assert got[4].text == f"{m[2]} saw Herr {m[2]}" and got[4].n_entities == 2
+
+
 def test_surrogates_where_values_run_short(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "ROUNDS", 2)
     emails = [("email", f"{c}@x.org") for c in "0123456789"]
