@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import convert, diversity, similarity
-from sieveline.functions.vectors import bits
+from sieveline.functions.vectors import bits, dot
 from sieveline.operators import quota, select
 from sieveline.sources.frames import features
 
@@ -249,6 +249,41 @@ def distance_covariance(spark, d):
     return convert.to_distance(similarity.pair_frame(rows, dot), "covariance").withColumn("value", _r(F.col("value")))
 
 
+# --- all pairs and conversions within every label
+
+_PL = f"WITH {_BITS}, q AS MATERIALIZED (SELECT x.label AS label, x.id AS i, y.id AS j, {_DOT('x.e', 'y.e')} AS a, {_OFF('x.e', 'y.e')} AS d, len(x.e)::DOUBLE AS p FROM p x JOIN p y ON x.label = y.label)"
+_AXDL = _PL + ", c AS MATERIALIZED (SELECT label, i, j, a, d, p - a - d AS x, p FROM q)"
+_TL = f"{_AXDL}, t0 AS MATERIALIZED (SELECT label, i, j, a / (a + x) AS v FROM c)"
+_TL += ", rw AS (SELECT label, i AS k, sum(v) AS r FROM t0 GROUP BY 1, 2), cl AS (SELECT label, j AS k, sum(v) AS c FROM t0 GROUP BY 1, 2), b AS (SELECT label, sum(r * c) AS b, sum(r) AS s FROM rw JOIN cl USING (label, k) GROUP BY 1)"
+_TL += ", e AS (SELECT label, max(v) AS hi, min(v) AS lo FROM t0 GROUP BY 1), t AS (SELECT t0.*, b, s, hi, lo FROM t0 JOIN b USING (label) JOIN e USING (label))"
+_CONVERT_EACH = {
+    **_CONVERT,
+    "reverse": "hi + lo - v",
+    "exponential": "-ln(v / hi)",
+    "gaussian": "sqrt(abs(-ln(v / hi)))",
+    "co_occurrence": "1 / (1 + v * s / b)",
+    "gravity": "sqrt(b / (v * s))",
+}
+_DIAGONAL = "JOIN q u ON u.label = q.label AND u.i = q.i AND u.j = q.i JOIN q v ON v.label = q.label AND v.i = q.j AND v.j = q.j"
+
+
+def _each_label(value, after=lambda pairs: pairs):
+    def run(spark, d):
+        return after(similarity.pair_frame(prints(spark, d), value, by="label")).withColumn("value", _r(F.col("value")))
+
+    return run
+
+
+for _key in similarity.PAIR_KEYS:
+    query(f"each_label_pair_{_key}", f"{_AXDL} SELECT label, i, j, round({_plain(_key)}, 6) + 0.0 AS value FROM c")(_each_label(lambda a, b, k=_key: similarity.pair_index(k, a, b)))
+query("each_label_pair_tanimoto", f"{_AXDL} SELECT label, i, j, round(a / (a + x), 6) + 0.0 AS value FROM c")(_each_label(similarity.tanimoto))
+query("each_label_pair_modified_tanimoto", f"{_PL} SELECT label, i, j, round({_MT}, 6) + 0.0 AS value FROM q")(_each_label(similarity.modified_tanimoto))
+query("each_label_pair_scaled", f"{_PL} SELECT q.label, q.i, q.j, round(q.a / sqrt(u.a * v.a), 6) + 0.0 AS value FROM q {_DIAGONAL}")(_each_label(dot, lambda pairs: similarity.scaled(pairs, "label")))
+for _metric, _sql in _CONVERT_EACH.items():
+    query(f"each_label_distance_{_metric}", f"{_TL} SELECT label, i, j, round({_sql}, 6) + 0.0 AS value FROM t")(_each_label(similarity.tanimoto, lambda pairs, m=_metric: convert.to_distance(pairs, m, "label")))
+query("each_label_distance_covariance", f"{_PL} SELECT q.label, q.i, q.j, round(sqrt(u.a + v.a - 2 * q.a), 6) + 0.0 AS value FROM q {_DIAGONAL}")(_each_label(dot, lambda pairs: convert.to_distance(pairs, "covariance", "label")))
+
+
 # --- n-ary similarity of each label's fingerprints
 
 _SETS = f"WITH {_BITS}, k AS (SELECT label, pos, sum(v) AS c, count(*)::DOUBLE AS n FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS pos FROM p) GROUP BY 1, 2)"

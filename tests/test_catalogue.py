@@ -26,6 +26,17 @@ def test_against_sql(spark, name):
     assert got == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
 
 
+@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n.startswith("each_label_")])
+def test_every_label_against_sql(spark, name):
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
+    got = {(r.label, r.i, r.j): r.value for r in catalogue.QUERIES[name](spark, str(DATA)).collect()}
+    want = db.execute(f"select label, i, j, value from ({catalogue.ORACLES[name]})").fetchall()
+    sizes = db.execute("select label, count(*) from embeddings group by 1").fetchall()
+    assert len(sizes) == 10 and len(got) == len(want) == sum(n * n for _, n in sizes)
+    assert all(got[k] == pytest.approx(v, abs=2e-6) for *k, v in want for k in [tuple(k)])
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "id long, features array<double>")
 
