@@ -6,8 +6,12 @@ several widths, max-pooled over the window and classified by a softmax layer.  T
 window of every text is classified, and a text's class has the largest mean log
 probability, weighted by the windows' bytes.
 
-A text that is null or has no letter gets ``und`` and score 0; so does every text if there
-is no labelled row to learn from.
+A text's score depends on its own bytes alone: windows end in zeros behind a text, and are
+multiplied in slices of one shape, so that neighbours in a batch change nothing.
+
+Defined results: a text that is null or has no letter gets ``und`` and score 0; so does every
+text if there is no labelled row to learn from.  Repeated rows get the same; ties go to the
+language that sorts first; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ DIM = 8
 #: Filters by width; the widest is REACH bytes.
 FILTERS = {2: 8, 3: 12, 4: 12}
 REACH = 4
-#: Labelled texts that the network is trained on, at most, and windows of each.
-TRAIN_ROWS, TRAIN_WINDOWS = 2000, 4
+#: Labelled texts that the network is trained on, at most; every window of each is used.
+TRAIN_ROWS = 2000
+#: Windows that are classified together; a constant shape, so that a score is the same in any batch.
+SLICE = 64
 
 
 @dataclass
@@ -48,54 +54,58 @@ def _mask() -> np.ndarray:
 
 
 def windows_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts side by side, each padded with zeros to whole windows; each window's text and number of bytes."""
+    """Rows of WINDOW + REACH bytes, each window's text and number of its own bytes.
+
+    A row ends with the first bytes of its text's next window, so that grams across windows are
+    seen once; behind a text's end there are zeros, never another text.
+    """
     size = np.diff(offs)
     count = np.maximum(1, -(-(size + REACH - 1) // WINDOW))
     first = np.zeros(len(count) + 1, dtype=np.int64)
     np.cumsum(count, out=first[1:])
-    flat = np.zeros(first[-1] * WINDOW + REACH, dtype=np.uint8)
+    flat = np.zeros(first[-1] * WINDOW, dtype=np.uint8)
     flat[np.arange(len(data)) + np.repeat(first[:-1] * WINDOW - offs[:-1], size)] = data
     owner = np.repeat(np.arange(len(size)), count)
+    rows = np.zeros((first[-1], WINDOW + REACH), dtype=np.uint8)
+    rows[:, :WINDOW] = flat.reshape(-1, WINDOW)
+    rows[:-1, WINDOW:-1] = np.where((owner[1:] == owner[:-1])[:, None], rows[1:, : REACH - 1], 0)
     used = np.clip(size[owner] - (np.arange(first[-1]) - first[owner]) * WINDOW, 0, WINDOW)
-    return flat, owner, used
+    return rows, owner, used
 
 
-def log_probs(model: Model, flat: np.ndarray, n_windows: int) -> np.ndarray:
+def log_probs(model: Model, rows: np.ndarray) -> np.ndarray:
     """Log probabilities of each window, in slices that stay in cache."""
-    out = np.empty((n_windows, len(model.langs)), dtype=np.float32)
-    step = 64
-    for at in range(0, n_windows, step):
-        n = min(step, n_windows - at)
-        e = model.embed[flat[at * WINDOW : (at + n) * WINDOW + REACH]].ravel()
+    out = np.empty((len(rows), len(model.langs)), dtype=np.float32)
+    stride = WINDOW + REACH
+    x = np.zeros(SLICE * stride + REACH, dtype=np.uint8)
+    for at in range(0, len(rows), SLICE):
+        n = min(SLICE, len(rows) - at)
+        x[: n * stride] = rows[at : at + n].ravel()
+        x[n * stride :] = 0
+        e = model.embed[x].ravel()
         best = None
-        for phase in range(REACH):  # positions that are phase modulo REACH: a reshape, no copy
-            rows = e[phase * DIM : phase * DIM + n * WINDOW * DIM].reshape(-1, REACH * DIM)
-            top = (rows @ model.conv).reshape(n, WINDOW // REACH, -1).max(axis=1)
+        for phase in range(REACH):  # grams that begin at phase modulo REACH: a reshape, no copy
+            grams = e[phase * DIM : (phase + SLICE * stride) * DIM].reshape(-1, REACH * DIM)
+            top = (grams @ model.conv).reshape(SLICE, stride // REACH, -1)[:, : WINDOW // REACH].max(axis=1)
             best = top if best is None else np.maximum(best, top)
         z = np.maximum(best + model.bias, 0) @ model.dense + model.out
         z -= z.max(axis=1, keepdims=True)
-        out[at : at + n] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        out[at : at + n] = (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[:n]
     return out
 
 
-def train(rows: list[tuple[str, str]], *, epochs: int = 4, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> Model | None:
-    """The network fitted to (text, language) pairs."""
+def train(rows: list[tuple[str, str]], *, epochs: int = 3, least_steps: int = 200, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> Model | None:
+    """The network fitted to (text, language) pairs, in epochs, and more of them if they have fewer than least_steps steps."""
     rows = [(t, y) for t, y in rows if any(c.isalpha() for c in t)]
     langs = sorted({y for _, y in rows})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text, y in rows:
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        starts = np.unique(np.linspace(0, max(0, len(raw) - WINDOW), TRAIN_WINDOWS).astype(int))
-        for s in starts:
-            x = np.zeros(WINDOW + REACH, dtype=np.uint8)
-            part = raw[s : s + WINDOW]
-            x[: len(part)] = part
-            xs.append(x)
-            ys.append(langs.index(y))
-    x, y = np.array(xs), np.array(ys)
+    raw = [t.encode() for t, _ in rows]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    x, owner, used = windows_of(np.frombuffer(b"".join(raw), dtype=np.uint8), offs)
+    x, owner = x[used > 0], owner[used > 0]
+    y = np.array([langs.index(v) for _, v in rows])[owner]
     mask, n_filters, n_langs = _mask(), sum(FILTERS.values()), len(langs)
     p = {
         "embed": rng.normal(0, 0.5, (256, DIM)).astype(np.float32),
@@ -106,7 +116,7 @@ def train(rows: list[tuple[str, str]], *, epochs: int = 4, batch: int = 64, rate
     }
     m1, m2, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     at = np.arange(WINDOW)[:, None] + np.arange(REACH)[None, :]
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // max(len(x), 1)))):
         order = rng.permutation(len(x))
         for b in range(0, len(x), batch):
             xb, yb = x[order[b : b + batch]], y[order[b : b + batch]]
@@ -144,8 +154,8 @@ def predict_columns(model: Model | None, column) -> tuple[list[str], list[float]
             langs += ["und"] * (j - i)
             scores += [0.0] * (j - i)
             continue
-        flat, owner, used = windows_of(data, offs)
-        lp = log_probs(model, flat, len(owner)) * np.maximum(used, 1)[:, None]
+        windows, owner, used = windows_of(data, offs)
+        lp = log_probs(model, windows) * np.maximum(used, 1)[:, None]
         total = np.zeros((j - i, len(model.langs)))
         np.add.at(total, owner, lp)
         total /= np.maximum(np.bincount(owner, np.maximum(used, 1), j - i), 1)[:, None]
@@ -158,20 +168,22 @@ def predict_columns(model: Model | None, column) -> tuple[list[str], list[float]
 
 
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score."""
+    """docs with lang_pred and lang_score, which take the place of columns of those names."""
     docs = without(docs, "lang_pred", "lang_score")
-    names = docs.columns
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["_lettered boolean", "_lang string", "_score double"])
+    kept = docs.columns
+    body, lettered = F.col(f"`{text}`"), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+    packed = docs.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), body.alias("body"), lettered.alias("lettered"))
+    kind = packed.schema["row"].dataType.simpleString() if kept else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predict_columns(model, batch.column(text))
-            cols = [batch.column(c) for c in [*names, "_lettered"]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "_lettered", "_lang", "_score"])
+            known, scores = predict_columns(model, batch.column("body"))
+            langs = [lang if ok else "und" for lang, ok in zip(known, batch.column("lettered").to_pylist(), strict=True)]
+            scores = [s if lang != "und" else 0.0 for lang, s in zip(langs, scores, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "lang_score"])
 
-    out = docs.withColumn("_lettered", lettered).mapInArrow(run, schema)
-    return out.select(*[f"`{c}`" for c in names], F.when(F.col("_lettered"), F.col("_lang")).otherwise("und").alias("lang_pred"), F.when(F.col("_lettered") & (F.col("_lang") != "und"), F.col("_score")).otherwise(0.0).alias("lang_score"))
+    out = packed.mapInArrow(run, f"row {kind}, lang_pred string, lang_score double")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "lang_score")
 
 
 def fit(docs: DataFrame, *, held_out: int = 1, folds: int = 3, rows: int = TRAIN_ROWS) -> Model | None:

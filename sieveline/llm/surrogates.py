@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from sieveline.llm.scratch import written
 from sieveline.llm.textkit import without
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# Loops are possessive and begin behind a lookbehind: linear in the text, without recursion.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)"
 CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -38,7 +39,7 @@ PLAIN = r"(?<![\d.+])(?<!\d[ -])(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d
 MEN = r"Mr\.?|Herr|Señor|Sr\.|Monsieur|Господин"
 WOMEN = r"Mrs\.?|Ms\.?|Frau|Señora|Sra\.|Madame|Mme|Госпожа"
 EITHER = r"Dr\.?|Prof\.?"
-NAME = rf"(?<!\p{{L}})(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}\p{{Ll}}+(?:[\x20-]\p{{Lu}}\p{{Ll}}+)?"
+NAME = rf"(?<!\p{{L}})(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}\p{{Ll}}++(?:[\x20-]\p{{Lu}}\p{{Ll}}++)?"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IP, CARD, SSN, PHONE, PLAIN, NAME))
 #: Cheap patterns of which every entity has one.
 HINT = rf"@|\d{{3}}|\d\.\d|\+\d|0\d[ -]\d\d[ -]|(?:{MEN}|{WOMEN}|{EITHER})\x20\p{{Lu}}"
@@ -72,6 +73,11 @@ def atoms_of(surface: Column) -> Column:
     return F.when(kind == "name", named).otherwise(F.array(pair(kind, plain)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _draw(stream: Column, i: Column, n: int) -> Column:
     """A number below n from the i-th (from 0) two bytes of a hexadecimal stream, which is used in a circle."""
     return (F.conv(stream.substr(i * 4 % 252 + 1, F.lit(4)), 16, 10).cast("int") % n).cast("int")
@@ -90,7 +96,12 @@ def _luhn(digits: Column) -> Column:
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """An atom's surrogate: a function of the key, the atom and the number of the attempt alone."""
     h = lambda *more: F.concat(*[F.sha2(F.concat_ws("\u001f", F.lit(key), *more, F.lit(str(i))), 256) for i in range(4)])
-    stream = h(kind, norm, attempt.cast("string"))
+    host_stream = lambda host: h(F.lit("domain"), host)
+    return _let(h(kind, norm, attempt.cast("string")), lambda stream: _from_stream(kind, norm, attempt, stream, host_stream))
+
+
+def _from_stream(kind: Column, norm: Column, attempt: Column, stream: Column, host_stream) -> Column:
+    """An atom's surrogate from its stream; a host's letters come from a stream of its own."""
     # numbers: free digits after those that are kept
     number = F.when(kind == "phone", F.substring_index(norm, ":", -1)).otherwise(norm)
     fixed = F.when(kind == "phone", F.substring_index(norm, ":", 1).cast("int")).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
@@ -113,7 +124,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     # after four attempts, further letters, so that the values do not run out
     more = F.floor(attempt / 4).cast("int")
     tail = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick("abcdefghijklmnopqrstuvwxyz", _draw(stream, i + 40, 26))), "")).otherwise("")
-    email = F.concat(like(local, stream), tail, F.lit("@"), like(host, h(F.lit("domain"), host)), F.lit("."), top)
+    email = F.concat(like(local, stream), tail, F.lit("@"), _let(host_stream(host), lambda own: like(host, own)), F.lit("."), top)
     size = F.greatest(F.length(norm), F.lit(2)) + F.floor(attempt / 4).cast("int")
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
 
@@ -225,22 +236,28 @@ def _mentions(part: Column, names: Column) -> Column:
 
 
 def replace_entities(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
-    """docs with entities replaced in text, and n_entities, their number."""
-    docs = without(docs, "n_entities", "_key")
-    marked = docs.withColumn("_has", F.coalesce(F.col(text).rlike(HINT) & F.col(text).rlike(ANY), F.lit(False)))
-    clean = marked.where(~F.col("_has")).drop("_has").withColumn("n_entities", F.lit(0).cast("long"))
-    held = marked.where("_has").drop("_has").withColumn("_key", F.sha2(text, 256))
-    texts = held.groupBy("_key").agg(F.first(text).alias("_text")).select("_key", F.split("_text", ANY, -1).alias("parts"), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)).alias("found"))
-    texts = written(texts, "entities")
-    tags = texts.select("_key", F.explode(F.array_distinct("found")).alias("s")).select("_key", F.inline(atoms_of(F.col("s")))).distinct()
+    """docs with entities replaced in text, and n_entities, their number, in the place of a column of that name."""
+    docs = without(docs, "n_entities")
+    names = docs.columns
+    others = [c for c in names if c != text]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    packed = docs.select(row.alias("row"), F.col(f"`{text}`").alias("body"))
+    hinted = F.coalesce(F.col("body").rlike(HINT), F.lit(False))
+    # the entities alone, once for each text
+    found = F.regexp_extract_all("body", F.lit(ANY), F.lit(0))
+    texts = packed.where(hinted).select(F.sha2("body", 256).alias("key"), F.array_distinct(found).alias("found")).where(F.size("found") > 0)
+    texts = texts.groupBy("key").agg(F.first("found").alias("found"))
+    tags = written(texts.select("key", F.explode("found").alias("s")).select("key", F.inline(atoms_of(F.col("s")))).distinct(), "entities")
     table = assign(tags.select("kind", "norm").distinct(), key)
     # a name alone is taken for a surname first
     person = F.when(F.col("kind").rlike("name"), F.struct("norm", (F.col("kind") != "surname").alias("second"), "kind", "surrogate"))
-    known = tags.join(table, ["kind", "norm"]).groupBy("_key").agg(
+    known = tags.join(table, ["kind", "norm"]).groupBy("key").agg(
         F.map_from_entries(F.collect_list(F.struct(_tag(F.col("kind"), F.col("norm")), "surrogate"))).alias("known"),
         F.array_sort(F.collect_list(person)).alias("names"),
     )
-    new = texts.join(known, "_key").select("_key", "parts", "names", F.transform("found", lambda s: rewritten(s, F.col("known"))).alias("with"))
+    new = packed.where(hinted).withColumn("key", F.sha2("body", 256)).join(known, "key", "left")
+    some = F.col("known").isNotNull()
+    new = new.withColumn("parts", F.when(some, F.split("body", ANY, -1))).withColumn("with", F.when(some, F.transform(found, lambda s: rewritten(s, F.col("known")))))
     # each part between entities: its text, and how many names stand in it
     words = F.transform("parts", lambda p: F.struct(p.alias("part"), _mentions(p, F.col("names")).alias("words")))
     named = F.transform("words", lambda p: F.struct(p.part.alias("part"), p.words.alias("words"), F.transform(p.words, lambda w: name_in(F.col("names"), w)).alias("by")))
@@ -248,9 +265,9 @@ def replace_entities(docs: DataFrame, *, key: str, text: str = "text") -> DataFr
     new = new.withColumn("words", words).withColumn("named", named).withColumn("told", told)
     new = new.withColumn("parts", F.col("told.part")).withColumn("more", F.aggregate("told", F.lit(0), lambda a, p: a + F.greatest(p.n, F.lit(0))))
     joined = F.concat(F.array_join(F.zip_with(F.slice("parts", F.lit(1), F.size("with")), "with", lambda p, w: F.concat(p, w)), ""), F.element_at("parts", -1))
-    new = new.select("_key", joined.alias("_new"), (F.size("with") + F.col("more")).cast("long").alias("n_entities"))
-    replaced = held.join(new, "_key").withColumn(text, F.col("_new")).drop("_key", "_new")
-    return clean.unionByName(replaced)
+    new = new.select("row", F.when(some, joined).otherwise(F.col("body")).alias("body"), F.when(some, F.size("with") + F.col("more")).otherwise(0).cast("long").alias("n_entities"))
+    out = packed.where(~hinted).select("row", "body", F.lit(0).cast("long").alias("n_entities")).unionByName(new)
+    return out.select(*[(F.col("body") if c == text else F.col("row")[c]).alias(c) for c in names], "n_entities")
 
 
 def op3_surrogates(spark, sf_dir: str) -> DataFrame:

@@ -146,19 +146,20 @@ def test_decontamination(spark):
     again = "so: A train leaves the station at 75 km and travels for 4 hours before it meets Boris near the old stone bridge"
     bad = "A train leaves the station at 75 km and travels for 75 hours before it meets Boris near the old stone bridge"
     docs = spark.createDataFrame([(1, again), (2, bad), (3, "a train leaves the station"), (4, None)], "doc_id long, text string")
-    assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == {1}
-    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [2, 3, 4]
+    # two values of the item's may be one of the document's
+    assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == {1, 2}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [3, 4]
 
 
 def test_decontamination_of_inconsistent_copies(spark):
     word = lambda n: "".join("bcdfghklmn"[int(c)] + "aeiou"[int(c) % 5] for c in f"{n:03d}")
-    passage = lambda number: " ".join(str(number(n)) if n % 6 == 3 else word(n) for n in range(100))
+    passage = lambda number, first=0: " ".join(str(number(n)) if n % 6 == 3 else word(n + first) for n in range(100))
     item = passage(lambda n: 5 if n in (9, 57) else n)
     copy = item.replace("5 " + word(58), "6 " + word(58))  # one number changed of two that were equal
     asked = passage(lambda n: 1000 + (5 if n in (9, 15, 57) else n))  # all numbers are others, and two that differed are equal
-    mixed = passage(lambda n: n % 2)  # no run is consistent
+    mixed = passage(lambda n: n, 500)  # the item has one number only, so no run is consistent
     docs = spark.createDataFrame([(1, copy), (2, asked), (3, mixed), (4, item)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, passage(lambda n: 7, 500))], "item_id long, text string")
     assert copy != item and {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == {1, 2, 4}
     assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [3]
 
