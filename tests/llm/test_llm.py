@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from sieveline.llm import ann, bpe, chat, decontaminate, jaccard, langid, secret_scan, substring, surrogates, toxicity
+from sieveline.llm import bpe, chat, decontaminate, jaccard, langid, secret_scan, substring, surrogates, toxicity
 from sieveline.llm.components import components
 from sieveline.llm.fmindex import FMIndex
 
@@ -237,18 +237,6 @@ def test_surrogates_where_values_run_short(spark, monkeypatch):
     assert sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(dealt["card"])) % 10 == 0
 
 
-def test_neighbours_recall(spark):
-    rows = table(spark, "embeddings").select("vec_id", "embedding")
-    bad = spark.createDataFrame([(50, None), (100, [0.0] * 64), (150, [float("nan")] * 64)], rows.schema)
-    got = {}
-    for r in ann.nearest(rows.union(bad), rows.where("vec_id % 50 = 0"), block=200, chunk=4, candidates=3000).collect():
-        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
-    v = {r.vec_id: np.array(r.embedding, dtype=float) for r in rows.collect()}
-    unit = {i: x / np.linalg.norm(x) for i, x in v.items()}
-    hits = [len({i for _, i in sorted((-(unit[q] @ unit[i]), i) for i in v if i != q)[:5]} & set(got[q].values())) for q in v if q % 50 == 0]
-    assert np.mean(hits) / 5 >= 0.9
-
-
 def test_classifiers():
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
