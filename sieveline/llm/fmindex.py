@@ -29,6 +29,43 @@ def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+class Bits:
+    """A bit vector with counts of the ones before any place, compressed.
+
+    Words of 64 equal bits, of which the transform of repetitive text is full, are not stored.
+    Eight words share a count of the ones and of the stored words before them; each adds its own
+    ones, in two bytes.
+    """
+
+    def __init__(self, bit: np.ndarray) -> None:
+        pad = np.zeros(512 + (-len(bit)) % 512, dtype=bool)
+        words = np.packbits(np.concatenate([bit.astype(bool), pad]), bitorder="little").view("<u8").astype(np.uint64)
+        ones = np.bitwise_count(words).astype(np.int64).reshape(-1, 8)
+        mixed = (ones > 0) & (ones < 64)
+        self.words = words[mixed.ravel()]
+        self.mixed = np.packbits(mixed, axis=1, bitorder="little")[:, 0]
+        before = np.cumsum(ones, axis=1)
+        self.inside = np.concatenate([np.zeros((len(ones), 1), dtype=np.int64), before], axis=1).astype(np.uint16)
+        kind = np.int32 if len(bit) < 1 << 31 else np.int64
+        self.ones = np.concatenate([[0], np.cumsum(before[:, -1])])[:-1].astype(kind)
+        self.stored = np.concatenate([[0], np.cumsum(mixed.sum(axis=1))])[:-1].astype(kind)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.words, self.mixed, self.inside, self.ones, self.stored))
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        block, word = at >> 9, (at >> 6) & 7
+        first = self.inside[block, word].astype(np.int64)
+        own = self.inside[block, word + 1] - first
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        some = self.mixed[block]
+        place = self.stored[block] + np.bitwise_count(some & ((1 << word) - 1).astype(np.uint8))
+        held = self.words[np.minimum(place, max(len(self.words) - 1, 0))] if len(self.words) else np.zeros(len(at), dtype=np.uint64)
+        part = np.where((some >> word.astype(np.uint8)) & 1, np.bitwise_count(held & mask), np.where(own == 64, at & 63, 0))
+        return self.ones[block] + first + part
+
+
 class FMIndex:
     """Counts occurrences of patterns of up to depth words in a collection of sequences.
 
@@ -47,14 +84,11 @@ class FMIndex:
         self.size = len(seq)
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=len(self.alphabet) + 1))])
         self.levels = max(1, int(len(self.alphabet)).bit_length())
-        self.bits: list[np.ndarray] = []
-        self.ones: list[np.ndarray] = []
+        self.bits: list[Bits] = []
         self.zeros: list[int] = []
         for level in range(self.levels - 1, -1, -1):
             bit = (last >> level) & 1
-            packed = np.packbits(np.concatenate([bit, np.zeros(64 + (-len(bit)) % 64, dtype=bit.dtype)]).astype(bool), bitorder="little").view("<u8")
-            self.bits.append(packed)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]))
+            self.bits.append(Bits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             last = np.concatenate([last[bit == 0], last[bit == 1]])
         self.starts = self._level_starts()
@@ -64,15 +98,10 @@ class FMIndex:
         pos = np.zeros(len(self.alphabet) + 1, dtype=np.int64)
         return self._descend(np.arange(len(self.alphabet) + 1), pos)
 
-    def _ones_before(self, level: int, pos: np.ndarray) -> np.ndarray:
-        word = pos >> 6
-        mask = (np.uint64(1) << (pos & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ones[level][word] + np.bitwise_count(self.bits[level][word] & mask)
-
     def _descend(self, symbol: np.ndarray, pos: np.ndarray) -> np.ndarray:
         for k in range(self.levels):
             one = (symbol >> (self.levels - 1 - k)) & 1
-            ones = self._ones_before(k, pos)
+            ones = self.bits[k].before(pos)
             pos = np.where(one == 1, self.zeros[k] + ones, pos - ones)
         return pos
 

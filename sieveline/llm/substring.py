@@ -1,18 +1,24 @@
-"""Substring deduplication: words in windows that the corpus repeats, by FM-indexes.
+"""Substring deduplication: words in windows that the corpus repeats, by compressed FM-indexes.
 
 A window of ``length`` words belongs to the shard of its minimiser, the least hash among its
 k-word grams, so equal windows meet in one shard whatever surrounds them.  Consecutive windows
 of a text with one minimiser occurrence form a segment; only (minimiser, segment hash, text,
-place) is shuffled.  A minimiser that occurs once has no repeated window; equal segments repeat
-all of theirs.  What is left are different segments of one minimiser, such as the edges of
-passages: their words are fetched, each shard's are put into a compressed FM-index, and backward
-search streams the segments through it, which gives the windows that occur again.
+place) is shuffled, and of equal segments at most two from a task.  A minimiser that occurs once
+has no repeated window; segments that are equal as wholes are one entry, all of whose windows are
+repeated.  The different segments of a minimiser have their words fetched; each shard's are put
+into a compressed FM-index, and backward search streams them through it, which gives the windows
+that occur again.
 
-Texts are known by a 64-bit hash; equal texts share their segments' rows within a task.  A
-shard holds at least all different segments of one minimiser, and as many minimisers as fit.
+A minimiser of very many segments, such as the edges of a passage that a third of the corpus has,
+would make one shard of them all.  HEAVY in a task, or more than HOT in all, take its windows
+apart: each is known by its own hash, so that no shard holds more than HOT segments of a
+minimiser, and no task many rows of one.
+
+Texts are known by a 64-bit hash; equal texts share their segments' rows within a task.
 
 Defined results: null texts have no words; texts shorter than a window lose none.  Repeated
-rows and ids, null ids too, are rows of their own.
+rows and ids, null ids too, are rows of their own.  Any length of 1 or more will do; grams are
+as long as the window if that is shorter.
 """
 
 from __future__ import annotations
@@ -31,16 +37,39 @@ from sieveline.llm.textkit import blocks, mix, runs, signed, word_hashes, word_s
 
 GRAM = 8
 SHARD_WORDS = 600_000
-#: A place in a text and the number of a segment's windows, in one number.
-SHIFT = 64
+#: Segments of one minimiser in a task, and in all, from which on its windows are judged one by one.
+HEAVY, HOT = 64, 8192
+#: Numbers that are broadcast at most.
+SMALL = 100_000
+#: Words whose segments are cut at a time.
+STRETCH = 1 << 22
+#: Equal segments are told apart within a task for so many different ones at a time.
+REMEMBERED = 1 << 19
+#: Rows: a segment to be judged; windows known to be repeated; a text seen before; a heavy minimiser.
+SEGMENT, CUT, TWIN, WEIGHT = range(4)
+#: Verdicts: one of a kind among others of its minimiser; one of several equal ones, likewise; windows to be judged one by one.
+ALONE, EQUAL, APART = 4, 5, 6
+ROWS = "kind int, m long, seg long, h long, start long, n long"
+NAMES = ["kind", "m", "seg", "h", "start", "n"]
 
 
 def segments(hashes: np.ndarray, firsts: np.ndarray, length: int, gram: int):
     """(text, first window, number of windows, minimiser, segment hash) of all segments."""
+    parts = []
     n = len(hashes)
+    for base in range(0, n, STRETCH):
+        if n - base < length:
+            break
+        # windows that begin in this stretch; what a stretch cuts in two is compared as different segments
+        parts.append(_stretch(hashes[base : base + STRETCH + length - 1], firsts, base, length, min(gram, length)))
     none = np.zeros(0, dtype=np.int64)
-    if n < length:
+    if not parts:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _stretch(hashes: np.ndarray, firsts: np.ndarray, base: int, length: int, gram: int):
+    n = len(hashes)
     power, inverse = _tables(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(hashes * power[:n], out=sums[1:])
@@ -53,11 +82,8 @@ def segments(hashes: np.ndarray, firsts: np.ndarray, length: int, gram: int):
         best = np.minimum(best[:-step], best[step:])
         width += step
     pos = (best & low).astype(np.int64)
-    owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))[: len(pos)]
-    ok = np.arange(len(pos)) + length <= firsts[owner + 1]
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    owner = np.searchsorted(firsts, np.arange(len(pos)) + base, side="right") - 1
+    at = np.flatnonzero(np.arange(len(pos)) + base + length <= firsts[owner + 1])
     new = np.ones(len(at), dtype=bool)
     new[1:] = (pos[at[1:]] != pos[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
     heads = np.flatnonzero(new)
@@ -66,16 +92,43 @@ def segments(hashes: np.ndarray, firsts: np.ndarray, length: int, gram: int):
     stop = start + count + length - 1
     content = (sums[stop] - sums[start]) * inverse[start]
     place = pos[start] - start
-    whole = mix(content + mix(count.astype(np.uint64) * np.uint64(64) + place.astype(np.uint64)))
+    whole = mix(content + mix(mix(count.astype(np.uint64)) + place.astype(np.uint64)))
     text = owner[start]
-    return text, start - firsts[text], count, grams[pos[start]], whole
+    return text, start + base - firsts[text], count, grams[pos[start]], whole
+
+
+def _rows(kind: int, h, m=None, seg=None, start=None, n=None) -> pa.RecordBatch:
+    size = len(h)
+    long = lambda x: pa.nulls(size, pa.int64()) if x is None else pa.array(signed(x) if x.dtype == np.uint64 else x, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int32()), *map(long, (m, seg, h, start, n))], names=NAMES)
+
+
+class Once:
+    """Lets the first two of equal segments through, of those that it remembers."""
+
+    def __init__(self) -> None:
+        self.count: dict[int, int] = {}
+
+    def __call__(self, seg: np.ndarray) -> np.ndarray:
+        order = np.argsort(seg, kind="stable")
+        values, first, size = np.unique(seg[order], return_index=True, return_counts=True)
+        if len(self.count) > REMEMBERED:
+            self.count.clear()
+        before = np.fromiter((self.count.get(v, 0) for v in values.tolist()), dtype=np.int64, count=len(values))
+        self.count.update(zip(values.tolist(), np.minimum(before + size, 2).tolist(), strict=True))
+        number = np.arange(len(seg)) - np.repeat(first, size) + np.repeat(before, size)
+        out = np.zeros(len(seg), dtype=bool)
+        out[order] = number < 2
+        return out
 
 
 def cut_up(length: int, gram: int):
-    """From batches of (h, text), rows (m, seg, h, at); for a text that the task has seen, m = seg = at = null."""
+    """From batches of (h, text), rows of kinds SEGMENT, CUT, TWIN and WEIGHT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        once = Once()
+        weight: dict[int, int] = {}
         for batch in batches:
             key = np.asarray(batch.column(0))
             for i, j, data, offs in blocks(batch.column(1)):
@@ -86,101 +139,141 @@ def cut_up(length: int, gram: int):
                     h = int(key[i + r])
                     known[r] = h in seen
                     seen.add(h)
+                if known.any():
+                    yield _rows(TWIN, key[i:j][known])
                 use = ~known[text]
-                twin = key[i:j][known]
-                none = pa.nulls(len(twin), pa.int64())
-                if len(twin):
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(twin), none], names=["m", "seg", "h", "at"])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(m[use])), pa.array(signed(seg[use])), pa.array(key[i:j][text[use]]), pa.array((start * SHIFT + count)[use])], names=["m", "seg", "h", "at"])
+                h, start, count, m, seg = key[i:j][text[use]], start[use], count[use], m[use], seg[use]
+                send = once(seg)
+                if not send.all():
+                    yield _rows(CUT, h[~send], m[~send], seg[~send], start[~send], count[~send])
+                yield _rows(SEGMENT, h[send], m[send], seg[send], start[send], count[send])
+                values, size = np.unique(m[send], return_counts=True)
+                for v, c in zip(values.tolist(), size.tolist(), strict=True):
+                    weight[v] = weight.get(v, 0) + c
+                if len(weight) > 2 * REMEMBERED:
+                    weight = {v: c for v, c in weight.items() if c > 1}
+        heavy = np.array([v for v, c in weight.items() if c >= HEAVY], dtype=np.uint64)
+        if len(heavy):
+            yield _rows(WEIGHT, np.zeros(len(heavy), dtype=np.int64), heavy)
 
     return run
 
 
 def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (m, seg), rows (kind, m, seg, h, at): kind 0, a segment with an equal; 1 and 2, a different one (1: without an equal) of a minimiser with several."""
-    names = ["m", "seg", "h", "at"]
-    carry: tuple[np.ndarray, np.ndarray, int] | None = None
+    """From segments sorted by (m, seg), verdicts CUT on those with equals; ALONE, EQUAL and APART on what needs its words."""
+    held = np.zeros((0, 5), dtype=np.int64)
+    hot = None  # the minimiser whose segments are sent on as they come
 
     def out(kind: int, rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind), pa.int32()), *[pa.array(rows[:, c]) for c in range(4)]], names=["kind", *names])
+        return _rows(kind, rows[:, 2], rows[:, 0], rows[:, 1], rows[:, 3], rows[:, 4])
+
+    def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Verdicts on all rows of some minimisers."""
+        if not len(rows):
+            return
+        new_m = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+        new = new_m | np.concatenate([[True], rows[1:, 1] != rows[:-1, 1]])
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(rows)))
+        of = np.cumsum(new_m)[heads] - 1  # each head's minimiser
+        total = np.bincount(of, size).astype(np.int64)[of]
+        apart = np.repeat(total > HOT, size)
+        if apart.any():
+            yield out(APART, rows[apart])
+        twin = np.repeat(size > 1, size) & ~apart
+        if twin.any():
+            yield out(CUT, rows[twin])
+        several = (np.bincount(of)[of] > 1) & (total <= HOT)
+        for kind, pick in ((ALONE, size == 1), (EQUAL, size > 1)):
+            if (several & pick).any():
+                yield out(kind, rows[heads[several & pick]])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([np.asarray(batch.column(c)) for c in names], axis=1)
-        done = np.zeros(len(rows), dtype=bool)
-        context = 0
-        if carry is not None:
-            rows, done = np.concatenate([carry[0], rows]), np.concatenate([carry[1], done])
-            context = carry[2]
-        got, carry = _judged(rows, done, context, False, out)
-        yield from got
-    if carry is not None:
-        got, _ = _judged(carry[0], carry[1], carry[2], True, out)
-        yield from got
-
-
-def _judged(rows: np.ndarray, done: np.ndarray, context: int, last: bool, out):
-    """Verdicts on rows; the last segment's head waits for what follows it, unless this is the end.
-
-    done: rows whose kind 0 was given; the first context rows stand only for what came before.
-    """
-    n = len(rows)
-    same = np.zeros(n + 1, dtype=bool)
-    same[1:n] = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
-    near = np.zeros(n + 1, dtype=bool)
-    near[1:n] = rows[1:, 0] == rows[:-1, 0]
-    heads = np.flatnonzero(~same[:n])
-    tails = np.append(heads[1:], n) - 1
-    twin = (same[:n] | same[1:]) & ~done
-    got = [out(0, rows[twin])] if twin.any() else []
-    ready = heads >= context
-    ready[-1] &= last
-    several = near[heads] | near[tails + 1]
-    for kind, pick in ((1, heads == tails), (2, heads != tails)):
-        take = heads[several & pick & ready]
-        if len(take):
-            got.append(out(kind, rows[take]))
-    head, tail = int(heads[-1]), int(tails[-1])
-    keep = ([head - 1] if near[head] else []) + [head] + ([head + 1] if tail > head else [])
-    return got, (rows[keep], np.array([True] * (1 if near[head] else 0) + [tail > head] * (len(keep) - (1 if near[head] else 0))), 1 if near[head] else 0)
+        rows = np.stack([np.asarray(batch.column(c)) for c in NAMES[1:]], axis=1)
+        if hot is not None:
+            end = int(np.searchsorted(rows[:, 0] != hot, True))
+            if end:
+                yield out(APART, rows[:end])
+            rows = rows[end:]
+            if not len(rows):
+                continue
+            hot = None
+        rows = np.concatenate([held, rows])
+        cut = int(np.searchsorted(rows[:, 0] == rows[-1, 0], True))
+        yield from settle(rows[:cut])
+        held = rows[cut:]
+        if len(held) > HOT:
+            yield out(APART, held)
+            hot, held = held[0, 0], held[:0]
+    yield from settle(held)
 
 
 def fetch(length: int):
-    """From (text, list of places), the words' hashes of each wanted segment."""
+    """From (text, list of segments), the words' hashes of each; of kind APART, the hash of each window, and CUT for what the task has twice."""
+    names = [*NAMES, "words"]
+
+    def out(rows: pa.RecordBatch, words=None) -> pa.RecordBatch:
+        words = pa.nulls(rows.num_rows, pa.binary()) if words is None else pa.array(words, pa.binary())
+        return pa.RecordBatch.from_arrays([*rows.columns, words], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = Once()
         for batch in batches:
             want = batch.column("want")
             for i, j, data, offs in blocks(batch.column("text")):
                 starts, ends, firsts = word_spans(data, offs)
-                hashes = signed(word_hashes(data, starts, ends))
+                hashes = word_hashes(data, starts, ends)
                 for r in range(j - i):
-                    cols: list[list] = [[], [], [], [], []]
-                    for w in want[i + r].as_py():
-                        begin = firsts[r] + w["at"] // SHIFT
-                        words = hashes[begin : begin + w["at"] % SHIFT + length - 1]
-                        for c, v in zip(cols, (w["kind"], w["m"], w["h"], w["at"], words.tobytes()), strict=True):
-                            c.append(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["kind", "m", "h", "at", "words"])
+                    part = want[i + r].values
+                    kind, m, seg, h, start, n = (np.asarray(part.field(c)) for c in NAMES)
+                    begin = firsts[r] + start
+                    some = np.flatnonzero(kind != APART)
+                    if len(some):
+                        words = [hashes[b : b + c].tobytes() for b, c in zip(begin[some], n[some] + length - 1, strict=True)]
+                        plain = pa.RecordBatch.from_arrays([pa.array(v[some]) for v in (kind, m, seg, h, start, n)], names=NAMES)
+                        yield out(plain, words)
+                    some = np.flatnonzero(kind == APART)
+                    if len(some):
+                        each = np.repeat(start[some], n[some]) + np.arange(n[some].sum()) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+                        each = np.unique(each)
+                        power, inverse = _tables(firsts[r + 1] - firsts[r] + 1)
+                        text = hashes[firsts[r] : firsts[r + 1]]
+                        sums = np.zeros(len(text) + 1, dtype=np.uint64)
+                        np.cumsum(text * power[: len(text)], out=sums[1:])
+                        value = mix((sums[each + length] - sums[each]) * inverse[each])
+                        send, one = once(value), np.ones(len(each), dtype=np.int64)
+                        who = np.full(len(each), h[some[0]])
+                        for k, take in ((SEGMENT, send), (CUT, ~send)):
+                            yield out(_rows(k, who[take], value[take], value[take], each[take], one[take]))
 
     return run
 
 
 def search(length: int, shard_words: int):
-    """From segments sorted by m, rows (h, at, mask): the windows of segments of kind 1 that their shard has twice."""
+    """From segments sorted by m, CUT for the runs of windows of ALONE segments that their shard has twice."""
 
-    def shard(tables: list[pa.Table]):
-        table = pa.concat_tables(tables)
-        raw = [w.as_py() for w in table.column("words")]
+    def shard(tables: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(tables).combine_chunks()
+        raw = table.column("words").to_pylist()
         size = np.array([len(w) // 8 for w in raw])
         first = np.concatenate([[0], np.cumsum(size)])
-        words = np.frombuffer(b"".join(raw), dtype=np.int64).view(np.uint64)
+        words = np.frombuffer(b"".join(raw), dtype=np.uint64)
         index = FMIndex(words, size, depth=2 * length)
         found = index.repeated_windows(words, first, length)
-        rows = [(h, at, int(sum(1 << int(s) for s in f))) for kind, h, at, f in zip(table.column("kind").to_pylist(), table.column("h").to_pylist(), table.column("at").to_pylist(), found, strict=True) if kind == 1 and len(f)]
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "at", "mask"])
+        h, start, n = [], [], []
+        kinds, texts, places = (np.asarray(table.column(c)) for c in ("kind", "h", "start"))
+        for r in np.flatnonzero(kinds == ALONE):
+            f = found[r]
+            if len(f):
+                begins = f[np.concatenate([[True], np.diff(f) > 1])]
+                ends = f[np.concatenate([np.diff(f) > 1, [True]])]
+                h += [texts[r]] * len(begins)
+                start += (places[r] + begins).tolist()
+                n += (ends - begins + 1).tolist()
+        cols = [np.array(c, dtype=np.int64) for c in (h, start, n)]
+        return _rows(CUT, cols[0], start=cols[1], n=cols[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -204,52 +297,62 @@ def finish(length: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, digest, kept_text = [], [], [], []
-            for text, all_, cuts in zip(batch.column("text"), batch.column("all_gone"), batch.column("cuts"), strict=True):
-                words = (text.as_py() or "").encode().split()
+            for text, all_, cuts in zip(batch.column("text").to_pylist(), batch.column("all_gone").to_pylist(), batch.column("cuts"), strict=True):
+                words = text.encode().split()
                 n = len(words)
-                gone = np.zeros(n + 1, dtype=np.int64)
-                if all_.as_py() and n >= length:
-                    gone[0] += 1
-                for cut in cuts.as_py() or ():
-                    start, mask = cut["at"] // SHIFT, cut["mask"]
-                    while mask:
-                        low = (mask & -mask).bit_length() - 1
-                        run_ = (~(mask >> low) & ((mask >> low) + 1)).bit_length() - 1
-                        gone[start + low] += 1
-                        gone[start + low + run_ + length - 1] -= 1
-                        mask &= ~(((1 << run_) - 1) << low)
-                keep = np.cumsum(gone[:n]) <= 0
-                kept = b" ".join(words if keep.all() else [w for w, k in zip(words, keep, strict=True) if k])
+                kept, lost = words, 0
+                if all_ and n >= length:
+                    kept, lost = [], n
+                elif cuts.is_valid:
+                    start, count = (np.asarray(cuts.values.field(c)) for c in ("start", "n"))
+                    gone = np.bincount(start, minlength=n + 1) - np.bincount(start + count + length - 1, minlength=n + 1)
+                    keep = np.cumsum(gone[:n]) <= 0
+                    kept, lost = [w for w, k in zip(words, keep.tolist(), strict=True) if k], int(n - keep.sum())
+                body = b" ".join(kept)
                 total.append(n)
-                removed.append(int(n - keep.sum()))
-                digest.append(hashlib.sha256(kept).hexdigest())
-                kept_text.append(kept.decode())
+                removed.append(lost)
+                digest.append(hashlib.sha256(body).hexdigest())
+                kept_text.append(body.decode())
             cols = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())], names=[*names, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    return rows.select(*NAMES).repartition("m").sortWithinPartitions("m", "seg").mapInArrow(judge, ROWS)
+
+
 def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): each text without the words that windows of length words cover which also start elsewhere in docs."""
+    if length < 1:
+        raise ValueError("a window has one word at least")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = docs.withColumn("h", F.xxhash64("text"))
-    rows = written(keyed.select("h", "text").mapInArrow(cut_up(length, gram), "m long, seg long, h long, at long"), "segments")
-    several = rows.where("m is null").select("h").distinct()
-    parted = rows.where("m is not null").repartition("m").sortWithinPartitions("m", "seg")
-    ruled = written(parted.mapInArrow(judge, "kind int, m long, seg long, h long, at long"), "ruled")
-    every = F.expr(f"shiftleft(1L, cast(at % {SHIFT} as int)) - 1L")
-    cuts = ruled.where("kind = 0").select("h", "at", every.alias("mask"))
-    unlike = ruled.where("kind > 0")
+    rows = written(keyed.select("h", "text").mapInArrow(cut_up(length, gram), ROWS), "segments")
+    several = rows.where(F.col("kind") == TWIN).select("h").distinct()
+    heavy = rows.where(F.col("kind") == WEIGHT).select("m").distinct()
+    found, n_heavy = rows.where(F.col("kind") == SEGMENT), heavy.count()
+    # a table of at most SMALL numbers is broadcast; a larger one is joined by shuffle
+    few = F.broadcast(heavy) if n_heavy <= SMALL else heavy
+    ruled = written(_judged(found.join(few, "m", "left_anti") if n_heavy else found), "ruled")
+    apart = found.join(few, "m", "left_semi").withColumn("kind", F.lit(APART))
+    cut = lambda df: df.where(F.col("kind") == CUT).select("h", "start", "n")
+    cuts = cut(rows).unionAll(cut(ruled))
+    unlike = ruled.where(F.col("kind") != CUT)
+    unlike = unlike.unionAll(apart.select(*NAMES)) if n_heavy else unlike
     if not unlike.isEmpty():
-        wanted = unlike.groupBy("h").agg(F.collect_list(F.struct("kind", "m", "h", "at")).alias("want"))
+        wanted = unlike.groupBy("h").agg(F.collect_list(F.struct(*NAMES)).alias("want"))
         # equal texts: the one of least id stands for all
         one = keyed.select("h", F.coalesce("doc_id", F.lit(-1)).alias("id")).groupBy("h").agg(F.min("id").alias("id"))
-        texts = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted.join(one, "h"), ["id", "h"]).select("text", "want")
-        words = texts.mapInArrow(fetch(length), "kind int, m long, h long, at long, words binary")
-        words = words.dropDuplicates(["h", "at"]).repartition("m").sortWithinPartitions("m")
-        cuts = cuts.unionAll(words.mapInArrow(search(length, shard_words), "h long, at long, mask long"))
-    by_text = cuts.groupBy("h").agg(F.collect_set(F.struct("at", "mask")).alias("cuts"))
+        texts = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted.join(one, "h"), ["id", "h"]).select("id", "h", "text", "want")
+        texts = texts.dropDuplicates(["id", "h"]).select("text", "want")
+        words = written(texts.mapInArrow(fetch(length), ROWS + ", words binary"), "words")
+        indexed = words.where(F.col("kind").isin(ALONE, EQUAL)).repartition("m").sortWithinPartitions("m")
+        # equal windows are repeated, however many: there is no other verdict on those with others of their hash
+        singles = _judged(words.where(F.col("kind") == SEGMENT)).withColumn("kind", F.lit(CUT))
+        cuts = cuts.unionAll(cut(words)).unionAll(cut(indexed.mapInArrow(search(length, shard_words), ROWS))).unionAll(cut(singles))
+    by_text = cuts.groupBy("h").agg(F.collect_set(F.struct("start", "n")).alias("cuts"))
     by_text = by_text.join(several.withColumn("all_gone", F.lit(True)), "h", "full")
     whole = keyed.join(by_text, "h", "left").select("doc_id", "text", F.coalesce("all_gone", F.lit(False)).alias("all_gone"), "cuts")
     return whole.mapInArrow(finish(length, ["doc_id"]), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

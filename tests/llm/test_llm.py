@@ -1,15 +1,12 @@
 """The operators against brute force on small inputs, and on odd ones."""
 
-import hashlib
 import random
 import re
-from collections import Counter
 
 import numpy as np
 import pytest
 from sieveline.llm import bpe, chat, decontaminate, jaccard, langid, secret_scan, substring, surrogates, toxicity
 from sieveline.llm.components import components
-from sieveline.llm.fmindex import FMIndex
 
 DATA = "/root/testdata/sf0.001"
 ODD = [(1, None, "x"), (2, "", "x"), (3, "   \n", None), (None, "a b c d e f", "x"), (4, "a b c d e f", "x"), (4, "a b c d e f", "x"), (5, "é " * 3000, "y")]
@@ -112,35 +109,6 @@ def test_components(spark):
     assert got == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7, 8: 7}
 
 
-def test_fm_index():
-    rng = np.random.default_rng(0)
-    for _ in range(25):
-        n, sig = int(rng.integers(2, 8)), int(rng.integers(2, 20))
-        seqs = [rng.integers(0, sig, int(rng.integers(0, 40))) for _ in range(20)]
-        words, sizes = np.concatenate(seqs).astype(np.uint64) + np.uint64(3), np.array([len(s) for s in seqs])
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        got = FMIndex(words, sizes, depth=64).repeated_windows(words, first, n)
-        c = Counter(tuple(s[i : i + n]) for s in seqs for i in range(len(s) - n + 1))
-        assert [list(g) for g in got] == [[i for i in range(len(s) - n + 1) if c[tuple(s[i : i + n])] > 1] for s in seqs]
-
-
-def test_substrings_equal_brute_force(spark):
-    docs = texts(spark)
-    docs[100000] = "a " * 200
-    docs[100001] = " ".join(list(docs.values())[3].split()[5:60] + ["new"] * 3)
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(df, length=35, shard_words=2000).collect()}
-    words = {i: t.encode().split() for i, t in docs.items()}
-    c = Counter(b" ".join(w[j : j + 35]) for w in words.values() for j in range(len(w) - 34))
-    for i, w in words.items():
-        keep = [True] * len(w)
-        for j in range(len(w) - 34):
-            if c[b" ".join(w[j : j + 35])] > 1:
-                keep[j : j + 35] = [False] * 35
-        left = [x for x, k in zip(w, keep) if k]
-        assert got[i] == (len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest())
-
-
 def test_decontamination(spark):
     bench = spark.createDataFrame([(1, "A train leaves the station at 60 km and travels for 3 hours before it meets Anna near the old stone bridge"), (2, "too short")], "item_id long, text string")
     again = "so: A train leaves the station at 75 km and travels for 4 hours before it meets Boris near the old stone bridge"
