@@ -43,7 +43,7 @@ HEAVY, HOT = 64, 8192
 SMALL = 100_000
 #: Words whose segments are cut at a time.
 STRETCH = 1 << 22
-#: Equal segments are told apart within a task for so many different ones at a time.
+#: Places of the table by which a task knows equal segments, a power of two.
 REMEMBERED = 1 << 19
 #: Rows: a segment to be judged; windows known to be repeated; a text seen before; a heavy minimiser.
 SEGMENT, CUT, TWIN, WEIGHT = range(4)
@@ -104,21 +104,22 @@ def _rows(kind: int, h, m=None, seg=None, start=None, n=None) -> pa.RecordBatch:
 
 
 class Once:
-    """Lets the first two of equal segments through, of those that it remembers."""
-
-    def __init__(self) -> None:
-        self.count: dict[int, int] = {}
-
-    def __call__(self, seg: np.ndarray) -> np.ndarray:
-        order = np.argsort(seg, kind="stable")
-        values, first, size = np.unique(seg[order], return_index=True, return_counts=True)
-        if len(self.count) > REMEMBERED:
-            self.count.clear()
-        before = np.fromiter((self.count.get(v, 0) for v in values.tolist()), dtype=np.int64, count=len(values))
-        self.count.update(zip(values.tolist(), np.minimum(before + size, 2).tolist(), strict=True))
-        number = np.arange(len(seg)) - np.repeat(first, size) + np.repeat(before, size)
-        out = np.zeros(len(seg), dtype=bool)
-        out[order] = number < 2
+    """Lets the first two of equal values through, of those that it remembers: a table of fixed size, where a newer value takes an older one's place."""
+
+    def __init__(self, least: int = 2) -> None:
+        self.least = least
+        self.value = np.zeros(REMEMBERED, dtype=np.uint64)
+        self.count = np.zeros(REMEMBERED, dtype=np.uint8)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        order = np.argsort(x, kind="stable")
+        values, first, size = np.unique(x[order], return_index=True, return_counts=True)
+        slot = (values & np.uint64(REMEMBERED - 1)).astype(np.int64)
+        before = np.where(self.value[slot] == values, self.count[slot], 0).astype(np.int64)
+        self.value[slot], self.count[slot] = values, np.minimum(before + size, self.least)
+        number = np.arange(len(x)) - np.repeat(first, size) + np.repeat(before, size)
+        out = np.zeros(len(x), dtype=bool)
+        out[order] = number < self.least
         return out
 
 
@@ -126,35 +127,30 @@ def cut_up(length: int, gram: int):
     """From batches of (h, text), rows of kinds SEGMENT, CUT, TWIN and WEIGHT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        once = Once()
-        weight: dict[int, int] = {}
+        fresh, once, told = Once(1), Once(), Once(1)
+        weight = np.zeros(2 * REMEMBERED, dtype=np.int32)
         for batch in batches:
             key = np.asarray(batch.column(0))
             for i, j, data, offs in blocks(batch.column(1)):
+                new = fresh(key[i:j].view(np.uint64))
+                if not new.all():
+                    yield _rows(TWIN, key[i:j][~new])
                 starts, ends, firsts = word_spans(data, offs)
                 text, start, count, m, seg = segments(word_hashes(data, starts, ends), firsts, length, gram)
-                known = np.zeros(j - i, dtype=bool)
-                for r in range(j - i):
-                    h = int(key[i + r])
-                    known[r] = h in seen
-                    seen.add(h)
-                if known.any():
-                    yield _rows(TWIN, key[i:j][known])
-                use = ~known[text]
+                use = new[text]
                 h, start, count, m, seg = key[i:j][text[use]], start[use], count[use], m[use], seg[use]
                 send = once(seg)
                 if not send.all():
                     yield _rows(CUT, h[~send], m[~send], seg[~send], start[~send], count[~send])
-                yield _rows(SEGMENT, h[send], m[send], seg[send], start[send], count[send])
-                values, size = np.unique(m[send], return_counts=True)
-                for v, c in zip(values.tolist(), size.tolist(), strict=True):
-                    weight[v] = weight.get(v, 0) + c
-                if len(weight) > 2 * REMEMBERED:
-                    weight = {v: c for v, c in weight.items() if c > 1}
-        heavy = np.array([v for v, c in weight.items() if c >= HEAVY], dtype=np.uint64)
-        if len(heavy):
-            yield _rows(WEIGHT, np.zeros(len(heavy), dtype=np.int64), heavy)
+                m = m[send]
+                yield _rows(SEGMENT, h[send], m, seg[send], start[send], count[send])
+                slot = (m & np.uint64(len(weight) - 1)).astype(np.int64)
+                weight += np.bincount(slot, minlength=len(weight)).astype(np.int32)
+                # minimisers that share a slot may be heavy sooner, which is right as well
+                heavy = np.unique(m[weight[slot] >= HEAVY])
+                heavy = heavy[told(heavy)]
+                if len(heavy):
+                    yield _rows(WEIGHT, np.zeros(len(heavy), dtype=np.int64), heavy)
 
     return run
 
