@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -185,9 +186,9 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(kind, rows[heads[several & pick]])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
         rows = np.stack([np.asarray(batch.column(c)) for c in NAMES[1:]], axis=1)
+        if not len(rows):
+            continue
         if hot is not None:
             end = int(np.searchsorted(rows[:, 0] != hot, True))
             if end:
@@ -242,7 +243,9 @@ def fetch(length: int):
                         send, one = once(value), np.ones(len(each), dtype=np.int64)
                         who = np.full(len(each), h[some[0]])
                         for k, take in ((SEGMENT, send), (CUT, ~send)):
-                            yield out(_rows(k, who[take], value[take], value[take], each[take], one[take]))
+                            # what is known already need not meet its equals
+                            place = value[take] if k == SEGMENT else mix(value[take] + each[take].astype(np.uint64))
+                            yield out(_rows(k, who[take], place, value[take], each[take], one[take]))
 
     return run
 
@@ -287,6 +290,33 @@ def search(length: int, shard_words: int):
     return run
 
 
+def decide(length: int, shard_words: int):
+    """From what fetch gives, sorted by (whether it has words, m, seg), CUT for all windows that occur again."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            kinds = np.asarray(batch.column("kind"))
+            group = np.where(kinds == CUT, 0, np.where(kinds == SEGMENT, 1, 2))
+            for g in range(3):
+                at = np.flatnonzero(group == g)
+                if len(at):
+                    yield g, batch.take(pa.array(at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, some in groupby(parts(batches), key=lambda part: part[0]):
+            rest = (part.select(NAMES) if g < 2 else part for _, part in some)
+            if g == 0:
+                yield from rest
+            elif g == 1:
+                # equal windows are repeated, however many: there is no other verdict on those with others of their hash
+                for ruled in judge(rest):
+                    yield ruled.set_column(0, "kind", pa.array(np.full(ruled.num_rows, CUT), pa.int32()))
+            else:
+                yield from search(length, shard_words)(rest)
+
+    return run
+
+
 def finish(length: int, names: list[str]):
     """From (columns, text, cuts), the columns with n_words, n_removed and the kept words."""
 
@@ -343,11 +373,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = GRAM, doc_i
         one = keyed.select("h", F.coalesce("doc_id", F.lit(-1)).alias("id")).groupBy("h").agg(F.min("id").alias("id"))
         texts = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted.join(one, "h"), ["id", "h"]).select("id", "h", "text", "want")
         texts = texts.dropDuplicates(["id", "h"]).select("text", "want")
-        words = written(texts.mapInArrow(fetch(length), ROWS + ", words binary"), "words")
-        indexed = words.where(F.col("kind").isin(ALONE, EQUAL)).repartition("m").sortWithinPartitions("m")
-        # equal windows are repeated, however many: there is no other verdict on those with others of their hash
-        singles = _judged(words.where(F.col("kind") == SEGMENT)).withColumn("kind", F.lit(CUT))
-        cuts = cuts.unionAll(cut(words)).unionAll(cut(indexed.mapInArrow(search(length, shard_words), ROWS))).unionAll(cut(singles))
+        words = texts.mapInArrow(fetch(length), ROWS + ", words binary")
+        group = F.when(F.col("kind") == CUT, 0).when(F.col("kind") == SEGMENT, 1).otherwise(2)
+        words = words.repartition("m").sortWithinPartitions(group, "m", "seg")
+        cuts = cuts.unionAll(cut(words.mapInArrow(decide(length, shard_words), ROWS)))
     by_text = cuts.groupBy("h").agg(F.collect_set(F.struct("start", "n")).alias("cuts"))
     by_text = by_text.join(several.withColumn("all_gone", F.lit(True)), "h", "full")
     whole = keyed.join(by_text, "h", "left").select("doc_id", "text", F.coalesce("all_gone", F.lit(False)).alias("all_gone"), "cuts")
