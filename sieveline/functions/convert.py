@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.sources.frames import check_pairs
+
+#: Metrics of each value alone: the distance, and the values for which it is defined.
 SIMPLE = {
     "reciprocal": (lambda x: 1 / x, lambda x: x > 0),
     "correlation": (lambda x: F.sqrt(1 - x), lambda x: (x >= -1) & (x <= 1)),
@@ -13,34 +16,54 @@ SIMPLE = {
     "membership": (lambda x: 1 - x, lambda x: (x >= 0) & (x <= 1)),
     "confusion": (lambda x: 1 - x, lambda x: (x >= 0) & (x <= 1)),
 }
-WHOLE = ("reverse", "exponential", "gaussian", "co_occurrence", "gravity", "covariance")
+#: Metrics that look at all values; those of MATRIX need pairs.
+MATRIX = ("co_occurrence", "gravity", "covariance")
+WHOLE = ("reverse", "exponential", "gaussian", *MATRIX)
 METRICS = (*SIMPLE, *WHOLE)
 
 
-def to_distance(pairs: DataFrame, metric: str, *keep: str, scale: float = 1.0) -> DataFrame:
-    """The pair frame with distances for similarities; a value outside the metric's domain raises when it is reached."""
+def _inside(test, value, metric: str):
+    """value where test holds; an error elsewhere."""
+    return F.when(test, value).otherwise(F.raise_error(F.lit(f"a value is outside the domain of {metric}")).cast("double"))
+
+
+def to_distance(values: DataFrame, metric: str, *keep: str, scale: float = 1.0, check: bool = False) -> DataFrame:
+    """The frame with distances for similarities in value: a pair frame (keep..., i, j, value), or single values with any other columns.
+
+    A value outside the metric's domain raises when it is reached; with check, so do pairs that
+    are not square and symmetric.
+    """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
-    pairs = pairs.withColumn("value", F.col("value") * scale)
+    paired = {"i", "j"} <= set(values.columns)
+    if metric in MATRIX and not paired:
+        raise ValueError(f"{metric} needs pairs (i, j, value)")
+    if check and paired:
+        check_pairs(values, by=keep[0] if keep else None)
+    values = values.withColumn("value", F.col("value") * scale)
     x = F.col("value")
     if metric in SIMPLE:
         f, domain = SIMPLE[metric]
-        return pairs.withColumn("value", F.when(domain(x), f(x)).otherwise(F.raise_error(F.lit(f"a value is outside the domain of {metric}")).cast("double")))
+        return values.withColumn("value", _inside(domain(x), f(x), metric))
+    names = values.columns
     if metric == "covariance":
-        diag = pairs.where("i = j")
+        diag = values.where("i = j")
         d1 = diag.select(*keep, "i", F.col("value").alias("_di"))
         d2 = diag.select(*keep, "j", F.col("value").alias("_dj"))
-        joined = pairs.join(d1, [*keep, "i"]).join(d2, [*keep, "j"])
-        return joined.select(*keep, "i", "j", F.sqrt(F.col("_di") + F.col("_dj") - 2 * x).alias("value"))
+        joined = values.join(d1, [*keep, "i"]).join(d2, [*keep, "j"])
+        gap = F.col("_di") + F.col("_dj") - 2 * x
+        return joined.withColumn("value", _inside((F.col("_di") >= 0) & (F.col("_dj") >= 0) & (gap >= 0), F.sqrt(gap), metric)).select(*names)
     if metric in ("co_occurrence", "gravity"):
-        rows = pairs.groupBy(*keep, F.col("i").alias("k")).agg(F.sum("value").alias("r"))
-        cols = pairs.groupBy(*keep, F.col("j").alias("k")).agg(F.sum("value").alias("c"))
-        b = rows.join(cols, [*keep, "k"]).groupBy(*keep).agg(F.sum(F.col("r") * F.col("c")).alias("_b"), F.sum("r").alias("_s"))
-        joined = pairs.join(b, list(keep)) if keep else pairs.crossJoin(F.broadcast(b))  # one row
+        rows = values.groupBy(*keep, F.col("i").alias("k")).agg(F.sum("value").alias("r"))
+        cols = values.groupBy(*keep, F.col("j").alias("k")).agg(F.sum("value").alias("c"))
+        both = rows.join(cols, [*keep, "k"]).groupBy(*keep).agg(F.sum(F.col("r") * F.col("c")).alias("_b"), F.sum("r").alias("_s"))
+        joined = values.join(both, list(keep)) if keep else values.crossJoin(F.broadcast(both))  # one row
         value = 1 / (1 + x * F.col("_s") / F.col("_b")) if metric == "co_occurrence" else F.sqrt(F.col("_b") / (x * F.col("_s")))
-        return joined.select(*keep, "i", "j", value.alias("value"))
-    ends = pairs.groupBy(*keep).agg(F.max("value").alias("_hi"), F.min("value").alias("_lo"))
-    joined = pairs.join(ends, list(keep)) if keep else pairs.crossJoin(F.broadcast(ends))  # one row
-    log = -F.log(x / F.col("_hi"))
-    value = F.col("_hi") + F.col("_lo") - x if metric == "reverse" else log if metric == "exponential" else F.sqrt(log)
-    return joined.select(*keep, "i", "j", value.alias("value"))
+        return joined.withColumn("value", _inside(x > 0, value, metric)).select(*names)
+    ends = values.groupBy(*keep).agg(F.max("value").alias("_hi"), F.min("value").alias("_lo"))
+    joined = values.join(ends, list(keep)) if keep else values.crossJoin(F.broadcast(ends))  # one row
+    if metric == "reverse":
+        return joined.withColumn("value", F.col("_hi") + F.col("_lo") - x).select(*names)
+    log = -F.log(F.try_divide(x, F.col("_hi")))
+    value = log if metric == "exponential" else F.sqrt(log)
+    return joined.withColumn("value", _inside(F.try_divide(x, F.col("_hi")) > 0, value, metric)).select(*names)

@@ -55,6 +55,7 @@ def index_of(key: str, a: Column, d: Column, x: Column, wa: Column | None = None
     return table[key]()
 
 
+#: The names of the indices.
 INDEX_KEYS = ("AC", "BUB", "CT1", "CT2", "CT3", "CT4", "Fai", "Gle", "Ja", "Ja0", "JT", "RT", "RR", "SM", "SS1", "SS2")
 PAIR_KEYS = tuple(k for k in INDEX_KEYS if k not in ("CT3", "CT4", "Ja0"))
 
@@ -91,7 +92,7 @@ def esim(key: str, sums: Column, n: Column, threshold: str | int | None = None,
     elif threshold == "dissimilar":
         bar = F.ceil(n / 2)
     elif isinstance(threshold, int):
-        bar = F.lit(threshold)
+        bar = F.when(n > threshold, F.lit(threshold)).otherwise(F.raise_error(F.lit("an integer threshold must be below the number of objects")).cast("int"))
     else:
         raise ValueError("threshold is None, 'dissimilar' or an integer below the number of objects")
     root = (lambda e: e) if order == 1 else (lambda e: F.pow(e, F.lit(1.0 / order)))
@@ -121,7 +122,9 @@ def pair_frame(frame: DataFrame, value, *, by: str | None = None, id: str = "id"
 
 
 def scaled(pairs: DataFrame, *keep: str) -> DataFrame:
-    """Pairs divided by the geometric mean of the two diagonal values, which must be above 0."""
+    """Pairs divided by the geometric mean of the two diagonal values; values must not be below 0, nor diagonal ones 0."""
     diag = pairs.where("i = j").select(*keep, F.col("i").alias("k"), F.col("value").alias("v"))
     d1, d2 = diag.withColumnsRenamed({"k": "i", "v": "_di"}), diag.withColumnsRenamed({"k": "j", "v": "_dj"})
-    return pairs.join(d1, [*keep, "i"]).join(d2, [*keep, "j"]).select(*keep, "i", "j", (F.col("value") / F.sqrt(F.col("_di") * F.col("_dj"))).alias("value"))
+    fine = (F.col("value") >= 0) & (F.col("_di") > 0) & (F.col("_dj") > 0)
+    value = F.when(fine, F.col("value") / F.sqrt(F.col("_di") * F.col("_dj"))).otherwise(F.raise_error(F.lit("values must not be below 0, nor diagonal ones 0")).cast("double"))
+    return pairs.join(d1, [*keep, "i"]).join(d2, [*keep, "j"]).select(*keep, "i", "j", value.alias("value"))

@@ -10,13 +10,18 @@ def census(frame: DataFrame, by: str) -> DataFrame:
     return frame.groupBy(by).agg(F.count("*").alias("n"))
 
 
+def _known(label) -> tuple:
+    """Labels in order, the null one first."""
+    return (label is not None, label)
+
+
 def proportional(counts: dict, size: int) -> dict:
     """Shares of size by group size, rounded half to even, one at least; what is too much is taken from the
     largest share, what is missing is given to the smallest that has rows left, the first label first."""
     total = sum(counts.values())
     if size > total:
         raise ValueError(f"{size} rows asked of {total}")
-    labels = sorted(counts)
+    labels = sorted(counts, key=_known)
     quota = {g: max(1, round(size * counts[g] / total)) for g in labels}
     while sum(quota.values()) > size:
         top = max(labels, key=lambda g: (quota[g], -labels.index(g)))
@@ -31,7 +36,7 @@ def equal(counts: dict, size: int) -> dict:
     """The same share for all; groups with no more rows than their share give all, and the rest is shared anew.  A remainder is dropped."""
     if size > sum(counts.values()):
         raise ValueError(f"{size} rows asked of {sum(counts.values())}")
-    open_, quota, left = sorted(counts), {}, size
+    open_, quota, left = sorted(counts, key=_known), {}, size
     while open_:
         share = left // len(open_)
         small = [g for g in open_ if counts[g] <= share]

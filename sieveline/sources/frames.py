@@ -19,21 +19,19 @@ def read_text(spark: SparkSession, path: str, sep: str = ",", header: bool = Fal
     return rows.select(F.monotonically_increasing_id().alias("id"), F.array(*[F.col(c).cast("double") for c in rows.columns]).alias("features"))
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    return spark.read.format(fmt).options(**options).load(path)
-
-
 def write(frame: DataFrame, path: str, fmt: str = "parquet", *partition_by: str) -> None:
     writer = frame.write.format(fmt)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def check_pairs(pairs: DataFrame, tolerance: float = 1e-8) -> None:
-    """Raises unless a pair frame is square and symmetric."""
-    n, ids, js = pairs.agg(F.count("*"), F.count_distinct("i"), F.count_distinct("j")).first()
-    if n != ids * js or ids != js:
+def check_pairs(pairs: DataFrame, tolerance: float = 1e-8, by: str | None = None) -> None:
+    """Raises unless the pair frame of each group is square and symmetric."""
+    pairs = pairs.select((F.col(by) if by else F.lit(0)).alias("g"), "i", "j", "value")
+    shape = pairs.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("i").alias("a"), F.count_distinct("j").alias("b"), F.count_distinct("i", "j").alias("c"))
+    if not shape.where("n <> a * b or a <> b or c <> n").isEmpty():
         raise ValueError("the pairs are not square")
-    turned = pairs.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("value").alias("other"))
-    gap = pairs.join(turned, ["i", "j"]).agg(F.max(F.abs(F.col("value") - F.col("other"))), F.count("*")).first()
-    if gap[1] != n or (gap[0] or 0.0) > tolerance:
+    turned = pairs.select("g", F.col("i").alias("j"), F.col("j").alias("i"), F.col("value").alias("other"))
+    a, b = pairs.alias("a"), turned.alias("b")
+    both = a.join(b, F.expr("a.g <=> b.g and a.i = b.i and a.j = b.j"), "left")
+    if not both.where(~F.coalesce(F.abs(F.col("value") - F.col("other")) <= tolerance, F.lit(False))).isEmpty():
         raise ValueError("the pairs are not symmetric")
