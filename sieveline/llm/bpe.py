@@ -8,7 +8,11 @@ the pre-tokeniser covers such a place, and no look-ahead reaches over it, so tok
 outside the window cannot change: joining is exact, and associative.  Decoding is the
 concatenation of the pieces' bytes up the same tree.
 
-Nulls count as empty texts.  An empty text has no tokens.  Extra columns are kept.
+That holds for patterns whose alternatives are all in SAFE; for any other one a text is a piece
+by itself.
+
+Defined results: nulls count as empty texts.  An empty text has no tokens.  Repeated rows each get
+theirs.  Columns of the results' names are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -25,13 +29,22 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.textkit import without
 
-#: Characters of a leaf: short texts are one leaf, and a window is a small part of it.
-LEAF = 4096
+#: Characters of a leaf: a window is a small part of it.
+LEAF = 1024
 WINDOW = 32
 #: The characters of Unicode's White_Space, which is the pattern's \\s.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
+#: Alternatives of a pre-tokeniser's pattern none of which covers a place where white space follows another character.
+SAFE = frozenset([*["'" + s for s in ("s", "t", "re", "ve", "m", "ll", "d")], r" ?\p{L}+", r" ?\p{N}+", r"\p{N}{1,3}", r" ?[^\s\p{L}\p{N}]+", r"\s+(?!\S)", r"\s+"])
+
+
+def splits(pattern: str) -> bool:
+    """Whether texts may be cut for a pattern: its alternatives are all SAFE."""
+    return set(pattern.split("|")) <= SAFE
+
+
 @lru_cache(maxsize=4)
 def load(path: str, pattern: str):
     """The encoding of a rank file, once for each Python worker."""
@@ -99,6 +112,8 @@ def encode_texts(
     keep_ids), bpe_ids_sha256, and, if verify, bpe_decoded_sha256 of the decoded bytes."""
     docs = without(docs, "bpe_n_tokens", "bpe_ids", "bpe_ids_sha256", "bpe_decoded_sha256")
     schema = "bpe_n_tokens long, bpe_ids binary, bpe_ids_sha256 string, bpe_decoded_sha256 string"
+    if not splits(pattern):  # a text is one piece
+        leaf = 1 << 62
     out_schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns] + [schema])
 
     names = docs.columns

@@ -6,7 +6,7 @@ Each attachment is recorded with its reference and the number of tokens its plac
 stands for.  A turn is ``<turn role>``, a line feed, the body, ``</turn>`` and a line feed.
 
 Escaping is reversible and leaves no ``<`` in a body: ``\\`` becomes ``\\b``, then ``<``
-becomes ``\\l`` and, in a role, ``>`` becomes ``\\g``.  So neither a marker nor a placeholder
+becomes ``\\l`` and, in a role, ``>`` becomes ``\\g``; in a part's type ``:`` becomes ``\\c``.  So neither a marker nor a placeholder
 can be forged by a text, and what is formatted can be split and read back exactly.
 
 Null texts and roles count as empty.  A message without parts has an empty body.  Turns of
@@ -58,7 +58,7 @@ def part_tokens(p: Column, *, patch: int, audio_rate: float, page_tokens: int) -
 
 def visit(p: Column, tokens: Column) -> Column:
     """What stands for a part in the formatted text; a part of unknown type is kept as a placeholder of that type."""
-    holder = F.concat(F.lit("<"), escape_role(p.type), F.lit(":"), escape_role(p.ref), F.lit(":"), tokens.cast("string"), F.lit(">"))
+    holder = F.concat(F.lit("<"), F.replace(escape_role(p.type), F.lit(":"), F.lit("\\c")), F.lit(":"), escape_role(p.ref), F.lit(":"), tokens.cast("string"), F.lit(">"))
     return F.when(F.coalesce(p.type, F.lit("text")) == "text", escape(p.text)).otherwise(holder)
 
 
@@ -124,6 +124,34 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, one)
 
 
+def read_parts(body: Column) -> Column:
+    """The parts (type, text, ref, tokens) of a formatted body, in order; texts side by side are one, and empty ones none."""
+    pieces = F.regexp_extract_all(body, F.lit("<[^>]*+>|[^<]++"), F.lit(0))
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def one(piece: Column) -> Column:
+        inner = piece.substr(F.lit(2), F.length(piece) - 2)
+        kind, tokens = F.substring_index(inner, ":", 1), F.substring_index(inner, ":", -1)
+        ref = inner.substr(F.length(kind) + 2, F.length(inner) - F.length(kind) - F.length(tokens) - 2)
+        text = F.struct(F.lit("text").alias("type"), unescape(piece).alias("text"), null("string").alias("ref"), F.lit(0).cast("long").alias("tokens"))
+        part = F.struct(unescape_role(F.replace(kind, F.lit("\\c"), F.lit(":"))).alias("type"), null("string").alias("text"), unescape_role(ref).alias("ref"), tokens.cast("long").alias("tokens"))
+        return F.when(piece.startswith("<"), part).otherwise(text)
+
+    return F.transform(pieces, one)
+
+
+def read_bodies(formatted: Column) -> Column:
+    """The turns (role, body) of a formatted conversation, bodies as formatted."""
+    pieces = F.filter(F.split(formatted, CLOSE), lambda s: s != "")
+
+    def one(piece: Column) -> Column:
+        cut = F.instr(piece, MID)
+        role = unescape_role(piece.substr(F.lit(len(OPEN) + 1), cut - len(OPEN) - 1))
+        return F.struct(role.alias("role"), piece.substr(cut + len(MID), F.length(piece)).alias("body"))
+
+    return F.transform(pieces, one)
+
+
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
     return F.array_join(F.transform(spans, lambda s: unescape(formatted.substr(s.start + 1, s.end - s.start))), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.scratch import written
+from sieveline.llm.scratch import forget, written
 
 
 def _downward(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
 
     Links to oneself, repeated ones and those with a null end add nothing.  Every step is a
     minimum by node and a join; links of a node are never gathered.  Each round is written to
-    the shared folder.
+    the shared folder, and the one before it deleted.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     edges = written(_downward(edges), "links")
@@ -33,7 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         large = _downward(large)
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = written(_downward(small), "links")
+        older, edges = edges, written(_downward(small), "links")
+        forget(older)
         before, mark = mark, _mark(edges)
         if before == mark:
             break

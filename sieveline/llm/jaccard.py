@@ -435,11 +435,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, pct: int = 80, doc_id: st
 def keep_first(docs: DataFrame, *, k: int = 5, pct: int = 80) -> DataFrame:
     """docs with one document of each component, that of the smallest doc_id; every row without an id stays.
 
-    Rows that repeat the kept doc_id are copies, so one of them stays.
+    Of rows that repeat the kept doc_id with the same text one stays; a different text under the
+    same id is no copy, and stays too.
     """
     joined = jaccard_components(docs, k=k, pct=pct)
     roots = joined.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(roots, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(roots, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -14,12 +14,6 @@ from sieveline.llm.surrogates import op3_surrogates
 from sieveline.llm.toxicity import op1_toxicity
 
 
-def pipeline(spark, sf_dir: str):
-    from corpus_pipeline import run
-
-    return run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -31,7 +25,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_ann": op9_ann,
     "op10_bpe": op10_bpe,
-    "pipeline": pipeline,
 }
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"

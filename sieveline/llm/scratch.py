@@ -22,9 +22,49 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders of tables written by this process and not deleted since, oldest first.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read again with its schema."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _made.remove(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table that df reads, if written() made it; nothing may read it any more."""
+    path = getattr(df, "_written_to", None)
+    if path in _made:
+        _delete(df.sparkSession, [path])
+
+
+class Passing:
+    """Within it, tables may be written; at its end all of them are deleted but the one that keep() named."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.kept = spark, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept = df._written_to
+        return df
+
+    def __enter__(self) -> "Passing":
+        self.before = set(_made)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _delete(self.spark, [p for p in _made if p not in self.before and p != self.kept])

@@ -5,7 +5,8 @@ Every text is content-addressed by its SHA-256.  The ledger holds, for each blob
 of blob and rule version that the ledger lacks; findings are joined back to every row
 (path) that has the blob.  Spans count code points; ends are exclusive.
 
-Nulls count as empty texts, which have no findings.  Repeated rows each get the findings.
+Defined results: nulls count as empty texts, which have no findings.  Repeated rows each get the
+findings, and repeated ledger rows count once.  A private key is a finding as far as its end.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.textkit import without
+from sieveline.llm.textkit import unused, without
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,8 @@ class Rule:
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 
+_KEY_BEGINS = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+
 #: The contract's kinds come first, in its order; the others add spans.
 RULES = (
     Rule("assign", _ASSIGN + "([A-Za-z0-9+/_.=-]+)", 2, 8, _ASSIGN + "[A-Za-z0-9+/_.=-]{8}", base=True),
@@ -48,9 +51,13 @@ RULES = (
     Rule("forge", "gh[oprsu]_[A-Za-z0-9]+", 0, 40, "gh[oprsu]_[A-Za-z0-9]{36}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 15, "xox[abprs]-[A-Za-z0-9-]{10}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, r"eyJ[A-Za-z0-9_-]+\."),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # as far as its end; without one, or with another beginning before it, the line alone
+    Rule("private_key", _KEY_BEGINS + "(?:(?:[^-]++|-(?!----(?:BEGIN|END)\\x20))*+-----END [A-Z ]*PRIVATE KEY-----)?+", 0, 1, _KEY_BEGINS, version=2),
 )
 
+#: The rules of the ledger's first version.
+FIRST_RULES = tuple(r for r in RULES if r.base)
+
 LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -78,7 +85,7 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows: one for each blob of docs and rule version that the ledger lacks (empty spans too)."""
-    blobs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).select(F.sha2("_text", 256).alias("blob"), "_text")
+    blobs = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).select(F.sha2("_text", 256).alias("blob"), "_text")
     blobs = blobs.groupBy("blob").agg(F.first("_text").alias("_text"))
     if ledger is not None:
         seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("_seen"))
@@ -94,28 +101,36 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, *, text: str = "text"
     return blobs.select("blob", F.array_compact(F.array(*entries)).alias("_entries")).select("blob", F.inline("_entries"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with secret_spans: array of (start, kind_no, end, kind), in that order; empty where nothing was found.
+def findings(docs: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", rules: tuple[Rule, ...] = RULES, into: str = "secret_spans") -> DataFrame:
+    """docs with into: array of (start, kind_no, end, kind), in that order; empty where nothing was found.
 
-    With a ledger, only unseen pairs are scanned and the ledger's own findings are used for the others.
+    With a ledger, only unseen pairs are scanned and the ledger's own findings are used for the
+    others.  A column of the name into is replaced; all others stay.
     """
-    docs = without(docs, "secret_spans", "secret_blob")
+    docs = without(docs, into)
     fresh = scan(docs, ledger, text=text, rules=rules)
     if ledger is not None:
         fresh = fresh.unionByName(ledger.select("blob", "rule", "spans").where(F.col("rule").isin([r.id for r in rules])))
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.id, i)])
     kinds = F.split("rule", "@")[0]
+    key, found = unused(docs, "secret_blob"), unused(docs, "secret_found")
     hits = (
         fresh.where(F.size("spans") > 0)
         .select("blob", F.transform("spans", lambda s: F.struct(s.start.alias("start"), order[F.col("rule")].alias("kind_no"), s.end.alias("end"), kinds.alias("kind"))).alias("_s"))
         .groupBy("blob")
-        .agg(F.array_sort(F.flatten(F.collect_list("_s"))).alias("secret_spans"))
-        .withColumnRenamed("blob", "secret_blob")
+        .agg(F.array_sort(F.flatten(F.collect_set("_s"))).alias("spans"))
+        .select(F.col("blob").alias(key), F.col("spans").alias(found))
     )
-    keyed = docs.withColumn("secret_blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
     empty = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string>>")
-    joined = keyed.join(hits, "secret_blob", "left")
-    return joined.select(*[f"`{c}`" for c in docs.columns], F.coalesce("secret_spans", empty).alias("secret_spans"))
+    joined = keyed.join(hits, key, "left")
+    return joined.select(*[f"`{c}`" for c in docs.columns], F.coalesce(F.col(found), empty).alias(into))
+
+
+def advance(ledger: DataFrame | None, docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger with what a scan of docs adds to it."""
+    fresh = scan(docs, ledger, text=text, rules=rules)
+    return fresh if ledger is None else ledger.select("blob", "rule", "spans").unionByName(fresh)
 
 
 def merged(spans: Column) -> Column:
@@ -132,17 +147,20 @@ def merged(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every found span replaced by mask; texts without findings stay as they are."""
-    found = findings(docs, ledger, text=text, rules=rules).withColumn("_gone", merged(F.col("secret_spans")))
+    """docs with every found span replaced by mask; texts without findings, and all other columns, stay as they are."""
+    spans = unused(docs, "secret_spans")
+    found = findings(docs, ledger, text=text, rules=rules, into=spans)
+    gone = unused(found, "secret_gone")
+    found = found.withColumn(gone, merged(F.col(spans)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    body = F.col(text)
+    body = F.col(f"`{text}`")
     built = F.aggregate(
-        "_gone",
+        gone,
         start,
         lambda st, s: F.struct(s.end.alias("at"), F.concat(st.out, body.substr(st.at + 1, s.start - st.at), F.lit(mask)).alias("out")),
         lambda st: F.concat(st.out, body.substr(st.at + 1, F.length(body))),
     )
-    return found.withColumn(text, F.when(F.size("_gone") > 0, built).otherwise(body)).select(*[f"`{c}`" for c in docs.columns])
+    return found.withColumn(text, F.when(F.size(gone) > 0, built).otherwise(body)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
@@ -151,7 +169,9 @@ def _joined(spans: Column) -> Column:
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = findings(docs).select("doc_id", "secret_spans")
+    # two versions of the rules: the second scan finds the first one's pairs in the ledger
+    ledger = scan(docs, rules=FIRST_RULES)
+    found = findings(docs, ledger).select("doc_id", "secret_spans")
     base = F.filter("secret_spans", lambda s: s.kind_no < 3)
     count = lambda n: F.size(F.filter("secret_spans", lambda s: s.kind_no == n)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("secret_spans")).alias("spans"))

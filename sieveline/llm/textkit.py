@@ -23,6 +23,14 @@ def without(frame, *names: str):
     return frame.select(*[frame[f"`{c}`"] for c in frame.columns if c.lower() not in gone])
 
 
+def unused(frame, name: str) -> str:
+    """A column name made of name that frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: True for the bytes of [\x20\x09-\x0D].
 IS_SPACE = np.zeros(256, dtype=bool)
