@@ -1,24 +1,29 @@
 """Toxicity by weak supervision.
 
-1. Voters.  Candidate patterns are the 5-byte grams of normalised text (lower case; runs of
-   ASCII other than letters and digits become one space), so whole short words, beginnings,
-   ends and recurring syllables are all among them.  Those whose rate differs most between
-   labelled toxic and clean texts become lexicon voters, each with the rate threshold at which
-   it tells them apart best; it votes toxic at or above the threshold and abstains below.
-   Pattern voters look at how much of a lexicon's entries, taken together, occurs.
-2. Label model.  Expectation maximisation estimates each voter's firing rate given the hidden
-   class, and the pairwise correlations that remain within the classes; a voter's evidence is
-   divided by the number of voters that its correlations say it repeats.
-3. Classifier.  A logistic regression over the log rates of the lexicon's grams and the votes is trained on
-   the label model's posteriors, not on the labels.
+1. Voters, which vote toxic or abstain.  General ones come from no label: families of abusive
+   words in four languages, and patterns of address, repetition, capitals and marks, which vote
+   where they stand out from what is usual.  Induced ones are entries of a lexicon of 5-byte
+   grams of normalised text (lower case; runs of ASCII other than letters and digits become one
+   space), which tell apart the labelled toxic and clean texts of two thirds of the sample.
+2. Label model.  The other third's labels are looked at only to name its result: a generative
+   model with latent kinds of text explains the votes on it.  Each kind has its probabilities of
+   how many voters of a family vote, silence included.  So voters that vote together, as those of
+   one language do, are one kind's evidence; those that correlate within the kinds as well are one
+   family, and what they repeat counts once.  Expectation maximisation fits it; the labels
+   then tell which kinds are toxic.  So each voter's accuracy and the correlations are estimated.
+3. Classifier.  A logistic regression over the log rates of the lexicon's grams and the votes is
+   trained on the label model's posteriors, not on the labels.
 
 Fitting reads at most ``TRAIN_ROWS`` labelled texts, chosen by a hash of the id, on the driver.
-Scoring is one pass over all bytes of every text.  Nulls count as empty; an empty text gets the
-classifier's bias alone.  Without labelled rows of both kinds every score is 0.
+Scoring is one pass over all bytes of every text.
+
+Defined results: nulls count as empty; an empty text gets the classifier's bias and abstentions
+alone.  Without labelled rows of both kinds every score is 0.  Repeated rows get the same.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.sampling import fold, labelled_sample
 from sieveline.llm.textkit import blocks, without
 
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 7000
 VOTERS = 240
 GRAM = 5
 BITS = 20
@@ -137,65 +142,199 @@ def mine(data: np.ndarray, offs: np.ndarray, y: np.ndarray, top: int = VOTERS, r
     return np.array(chosen, dtype=np.int64)
 
 
-def votes_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[dict]]:
-    """A 0/1 matrix of votes, and each voter's kind and threshold."""
-    out, voters = [], []
+#: Words of abuse in general use, a family for each language.
+ABUSE = {
+    "en": "idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown clowns dumb fool fools ugly jerk creep liar coward garbage filthy shut",
+    "de": "idiot idioten dumm blöd trottel versager abschaum müll erbärmlich wertlos widerlich ekelhaft arschloch lügner feigling dreck",
+    "fr": "idiot idiote stupide crétin imbécile minable ordure déchet pathétique dégoûtant clown menteur lâche connard salaud",
+    "es": "idiota idiotas estúpido estúpida imbécil basura escoria patético asqueroso payaso inútil mentiroso cobarde tonto perdedor",
+}
+#: Words by which a reader is addressed.
+SECOND = frozenset("you your yours yourself du dich dein euch euer tu toi ton vous votre te tú tus usted vosotros".split())
+_ABUSE = {lang: frozenset(words.split()) for lang, words in ABUSE.items()}
+_WORD = re.compile(r"\w+")
+
+
+def general(text: str) -> list[float]:
+    """What the general voters look at: shares of abusive words by language, of words that address, repeat or shout, and of marks that shout."""
+    words = _WORD.findall(text)
+    low = [w.lower() for w in words]
+    n = max(len(words), 20)
+    shout = sum(len(w) > 3 and w.isupper() for w in words)
+    marks = sum(text.count(c) for c in "!?*#$%&@")
+    twice = sum(a == b for a, b in zip(low, low[1:], strict=False))
+    return [*(sum(w in family for w in low) / n for family in _ABUSE.values()), sum(w in SECOND for w in low) / n, twice / n, shout / n, marks / max(len(text), 100)]
+
+
+GENERAL = (*(f"abuse_{lang}" for lang in ABUSE), "address", "repeats", "capitals", "marks")
+
+
+#: Of the texts on which an induced voter votes, so many at least must be toxic where it comes from.
+SOUND = 0.5
+
+
+def thresholds(x: np.ndarray, extra: np.ndarray, y: np.ndarray) -> list[dict]:
+    """Each voter's kind and the value from which on it votes: induced entries part the labels best there, general voters stand out there from what is usual.
+
+    Induced voters that are wrong more often than right are left out.
+    """
+    voters = []
 
     def add(kind: str, value: np.ndarray, name) -> None:
         grid = np.unique(np.quantile(value[value > 0], np.linspace(0, 0.9, 10))) if (value > 0).any() else [1e9]
         best = max(grid, key=lambda t: ((value >= t) & (y == 1)).sum() / max(1, (y == 1).sum()) - 3 * ((value >= t) & (y == 0)).sum() / max(1, (y == 0).sum()))
-        out.append(value >= best)
-        voters.append({"kind": kind, "name": name, "threshold": float(best)})
+        votes = value >= best
+        if y[votes].sum() - 1 >= SOUND * (votes.sum() + 1):  # one text more or less must not decide
+            voters.append({"kind": kind, "name": name, "threshold": float(best)})
 
     for j in range(x.shape[1]):
         add("lexicon", x[:, j], j)
-    for kind, value in (("distinct", (x > 0).sum(1).astype(float)), ("total", x.sum(1)), ("peak", x.max(1) if x.shape[1] else np.zeros(len(x)))):
-        add("pattern", value, kind)
-    return np.array(out, dtype=float).T, voters
-
-
-def fired(x: np.ndarray, voters: list[dict]) -> np.ndarray:
-    """The votes of known voters on texts with features x."""
-    summary = {"distinct": (x > 0).sum(1), "total": x.sum(1), "peak": x.max(1)}
-    return np.array([(summary[v["name"]] if v["kind"] == "pattern" else x[:, v["name"]]) >= v["threshold"] for v in voters], dtype=float).T
-
+    for j, name in enumerate(GENERAL):
+        usual = float(np.quantile(extra[:, j], 0.95)) if len(extra) else 0.0
+        voters.append({"kind": "general", "name": name, "threshold": max(usual * 1.5, 1e-9)})
+    return voters
 
-def balanced(say: np.ndarray, share: float) -> np.ndarray:
-    """Probabilities of log odds say, shifted so that their mean is share."""
-    lo, hi = -200.0, 200.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        p = 1 / (1 + np.exp(-np.clip(say + mid, -30, 30)))
-        lo, hi = (mid, hi) if p.mean() < share else (lo, mid)
-    return p
 
+def fired(x: np.ndarray, extra: np.ndarray, voters: list[dict]) -> np.ndarray:
+    """The 0/1 matrix of votes of voters on texts with features x and general features extra; 0 is an abstention."""
+    value = {"lexicon": lambda j: x[:, j], "general": lambda name: extra[:, GENERAL.index(name)]}
+    return np.array([value[v["kind"]](v["name"]) >= v["threshold"] for v in voters], dtype=float).reshape(len(voters), len(x)).T
 
-def label_model(votes: np.ndarray, noted: np.ndarray, rounds: int = 12, trust: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of the toxic class, firing rates by class, correlations within the classes).
 
-    The annotators' labels are one more voter, which never abstains and starts with accuracy trust;
-    its accuracy is estimated too.
+@dataclass
+class LabelModel:
+    """P(votes, kind of text): kinds are latent; each family of voters says how many of it voted, up to LEVELS - 1."""
+
+    families: np.ndarray  # each voter's family
+    share: np.ndarray  # of each kind
+    emission: np.ndarray  # kinds x families x LEVELS, log probabilities
+    toxic: np.ndarray  # whether a kind is toxic
+    rate: np.ndarray  # 2 x voters: probability of a vote from clean and from toxic texts
+    correlation: np.ndarray  # of the votes within clean and within toxic texts
+
+    def kinds(self, votes: np.ndarray) -> np.ndarray:
+        """Posterior probabilities of the kinds; silence of a family counts as what it is."""
+        level = levels(votes, self.families)
+        say = np.log(self.share)[None] + self.emission[:, np.arange(level.shape[1])[None], level].sum(-1).T
+        say -= say.max(1, keepdims=True)
+        p = np.exp(say)
+        return p / p.sum(1, keepdims=True)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return self.kinds(votes)[:, self.toxic].sum(1)
+
+
+LEVELS = 4
+#: Kinds of text at most.  Correlations from which on two voters are one family, within kinds, and from which on they may speak of one kind, over all texts.
+KINDS, REPEATS, TOGETHER = 24, 0.3, 0.35
+#: Kinds that are split because they hold both toxic and clean texts, at most.
+SPLITS = 6
+
+
+def levels(votes: np.ndarray, families: np.ndarray) -> np.ndarray:
+    """How many voters of each family vote on each text, up to LEVELS - 1."""
+    sums = np.zeros((len(votes), int(families.max(initial=-1)) + 1))
+    np.add.at(sums.T, families, votes.T)
+    return np.minimum(sums, LEVELS - 1).astype(int)
+
+
+def joined(near: np.ndarray) -> np.ndarray:
+    """The number of the group of each voter, voters that are near being one group."""
+    group = np.arange(len(near))
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        group[group == group[j]] = group[i]
+    return np.unique(group, return_inverse=True)[1]
+
+
+def correlations(votes: np.ndarray) -> np.ndarray:
+    """Of the voters over all texts; 0 for those that always or never vote."""
+    corr = np.zeros((votes.shape[1],) * 2)
+    some = np.flatnonzero(votes.std(0) > 0)
+    if len(some):
+        corr[np.ix_(some, some)] = np.atleast_2d(np.corrcoef(votes[:, some].T))
+    return corr
+
+
+def _first_kinds(votes: np.ndarray, most: int) -> np.ndarray:
+    """A first guess of each text's kind: 0 where no voter votes, else the group of voters that vote together, of which most do."""
+    group = joined(correlations(votes) > TOGETHER)
+    size, support = np.bincount(group), np.bincount(group, votes.sum(0))
+    groups = [g for g in np.lexsort((-support, -size))[: most - 1] if support[g]]
+    if not groups:
+        return np.zeros(len(votes), dtype=int)
+    say = np.stack([votes[:, group == g].sum(1) for g in groups], axis=1)
+    return np.where(say.max(1) > 0, say.argmax(1) + 1, 0)
+
+
+def _within(post: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each voter votes on texts of each kind, and the correlations within the kinds."""
+    mean = (post.T @ votes + 0.5 * votes.mean(0)) / (post.sum(0)[:, None] + 0.5)
+    rest = votes - post @ mean
+    cov = rest.T @ rest / len(votes)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    return mean, cov / np.outer(sd, sd)
+
+
+def _fitted(votes: np.ndarray, start: np.ndarray, families: np.ndarray, rounds: int):
+    """(families, share, emission, posterior) by expectation maximisation from a first guess of the kinds, with families joined until no voters correlate within the kinds."""
+    n, kinds = len(votes), int(start.max()) + 1
+    while True:
+        one_hot = np.eye(LEVELS)[levels(votes, families)]  # n x families x LEVELS
+        usual = (one_hot.sum(0) + 0.5) / (n + 0.5 * LEVELS)
+        post = 0.9 * np.eye(kinds)[start] + 0.1 / kinds
+        for _ in range(rounds):
+            share = (post.sum(0) + 1) / (n + kinds)
+            count = np.einsum("nc,nfl->cfl", post, one_hot) + 2.0 * usual[None]
+            emission = np.log(count / count.sum(-1, keepdims=True))
+            say = np.log(share)[None] + np.einsum("nfl,cfl->nc", one_hot, emission)
+            say -= say.max(1, keepdims=True)
+            new = np.exp(say)
+            new /= new.sum(1, keepdims=True)
+            done = np.abs(new - post).max() < 1e-5
+            post = new
+            if done:
+                break
+        merged = joined((_within(post, votes)[1] > REPEATS) | (families[:, None] == families[None]))
+        if merged.max(initial=-1) == families.max(initial=-1):
+            return families, share, emission, post
+        families = merged
+
+
+def label_model(votes: np.ndarray, noted: np.ndarray | None = None, rounds: int = 60) -> LabelModel:
+    """The generative model fitted to votes by expectation maximisation.
+
+    What voters repeat of one another is explained by kinds of text on which they vote together;
+    voters that still correlate within the kinds are put into one family, and the model is fitted
+    again, until none do.  Labels are no votes: noted (1, 0, or -1 where unknown) only
+    tells which kinds are toxic, and which hold both and are split; without it those kinds are
+    toxic, from which most voters vote more often than from the largest kind.
     """
-    n, k = votes.shape
-    post = np.where(noted == 1, trust, 1 - trust)
-    rate, corr, right = np.zeros((2, k)), np.zeros((k, k)), np.array([trust, trust])
-    for _ in range(rounds):
-        for c, w in ((0, 1 - post), (1, post)):
-            rate[c] = (w @ votes + 0.5 * votes.mean(0)) / (w.sum() + 0.5)
-            right[c] = np.clip((w @ (noted == c)) / w.sum(), 0.55, 0.99)
-        rate = np.clip(rate, 1e-4, 1 - 1e-4)
-        rest = votes - (post[:, None] * rate[1] + (1 - post)[:, None] * rate[0])
-        cov = rest.T @ rest / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        corr = cov / np.outer(sd, sd)
-        share = 1 / np.sqrt(np.maximum(1, (np.clip(corr, 0, 1) ** 2).sum(1)))  # voters that fire together repeat each other
-        say = votes @ (share * np.log(rate[1] / rate[0]))  # an abstention says nothing: kinds of toxic text differ
-        say += np.where(noted == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
-        new = balanced(say, noted.mean())
-        if np.abs(new - post).max() < 1e-4:
+    families = np.arange(votes.shape[1])
+    start = np.unique(_first_kinds(votes, KINDS), return_inverse=True)[1]
+    known = np.flatnonzero(noted >= 0) if noted is not None else np.zeros(0, dtype=int)
+    for _ in range(SPLITS + 1):
+        families, share, emission, post = _fitted(votes, start, families, rounds)
+        kind = post.argmax(1)
+        size = np.bincount(kind[known], minlength=len(share))
+        bad = np.bincount(kind[known], noted[known] == 1, minlength=len(share)) if len(known) else size
+        mixed = np.flatnonzero((np.minimum(bad, size - bad) >= 3) & (np.minimum(bad, size - bad) > 0.05 * size))
+        if not len(mixed):
             break
-        post = new
-    return post, rate, corr
+        # a kind that holds both: the texts on which its most telling voter votes become another
+        c = mixed[np.argmax(np.minimum(bad, size - bad)[mixed])]
+        mine_ = known[kind[known] == c]
+        gap = np.abs(votes[mine_][noted[mine_] == 1].mean(0) - votes[mine_][noted[mine_] == 0].mean(0))
+        start = np.where((kind == c) & (votes[:, gap.argmax()] > 0), len(share), kind)
+        start = np.unique(start, return_inverse=True)[1]
+    mean, _ = _within(post, votes)
+    if len(known):
+        # a kind without labelled texts is as toxic as all of them are
+        toxic = (bad + (noted[known] == 1).mean()) / (size + 1) > 0.5
+    else:
+        toxic = (mean > mean[post.sum(0).argmax()]).mean(1) > 0.5
+    p = post[:, toxic].sum(1)
+    rate, corr = _within(np.stack([1 - p, p], axis=1), votes)
+    return LabelModel(families, share, emission, toxic, np.clip(rate, 1e-6, 1 - 1e-6), corr)
 
 
 def logistic(x: np.ndarray, target: np.ndarray, penalty: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -226,27 +365,40 @@ def cut(z: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def train(rows: list[tuple[str, int]]) -> Model | None:
-    """The model fitted to (text, 0 or 1) pairs."""
+    """The model fitted to (text, 0 or 1) pairs.
+
+    Voters are induced from two thirds of the texts and their labels; the label model sees the
+    votes on the others, and of all texts only what it believes goes to the classifier.
+    """
     y = np.array([int(v) for _, v in rows])
     if len(set(y.tolist())) < 2:
         return None
     raw = [t.lower().encode() for t, _ in rows]
     offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    best = mine(data, offs, y)
+    dev = np.zeros(len(y), dtype=bool)
+    for label in (0, 1):  # two thirds of either kind
+        at = np.flatnonzero(y == label)
+        dev[at[np.arange(len(at)) % 3 < 2]] = True
+    own = [r for r, d in zip(raw, dev, strict=True) if d]
+    best = mine(np.frombuffer(b"".join(own), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in own])]).astype(np.int64), y[dev])
     slot = np.full(1 << BITS, -1, dtype=np.int16)
     slot[best] = np.arange(len(best))
-    if not len(best):
-        return Model(slot, np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))), [], np.zeros((0, 0)))
-    x = np.vstack([features(slot, len(best), data[offs[i] : offs[min(i + 100, len(y))]], offs[i : i + 101] - offs[i]) for i in range(0, len(y), 100)])
-    votes, voters = votes_of(x, y)
-    post, rate, corr = label_model(votes, y)
+    x = np.vstack([features(slot, len(best), data[offs[i] : offs[min(i + 100, len(y))]], offs[i : i + 101] - offs[i]) for i in range(0, len(y), 100)]) if len(best) else np.zeros((len(y), 0))
+    extra = np.array([general(t) for t, _ in rows])
+    voters = thresholds(x[dev], extra, y[dev])
+    votes = fired(x, extra, voters)
+    rest = ~dev if (~dev).any() else dev
+    believed = label_model(votes[rest], np.where(dev, y, -1)[rest] if dev[rest].any() else y[rest])
+    post = believed.posterior(votes)
     z = np.hstack([x, votes])
     weight, bias = logistic(z, post)
-    bias -= cut(z @ weight + bias, post > 0.5)
-    for v, r0, r1 in zip(voters, rate[0], rate[1], strict=True):
-        v |= {"fires_clean": float(r0), "fires_toxic": float(r1), "accuracy": float(r1 / (r0 + r1))}
-    return Model(slot, weight, bias, voters, corr)
+    if 0 < (post > 0.5).sum() < len(post):  # else there is nothing to part
+        bias -= cut(z @ weight + bias, post > 0.5)
+    share = post.mean()
+    for v, r0, r1, family in zip(voters, *believed.rate, believed.families.tolist(), strict=True):
+        v |= {"fires_clean": float(r0), "fires_toxic": float(r1), "accuracy": float(share * r1 / (share * r1 + (1 - share) * r0)), "family": family}
+    return Model(slot, weight, bias, voters, believed.correlation)
 
 
 def score_column(model: Model | None, column) -> np.ndarray:
@@ -254,11 +406,11 @@ def score_column(model: Model | None, column) -> np.ndarray:
     if model is None:
         return out
     lowered = pa.compute.utf8_lower(column)
+    n_features = len(model.weight) - len(model.voters)
     for i, j, data, offs in blocks(lowered):
-        z = np.full(j - i, model.bias)
-        if model.voters:
-            x = features(model.slot, len(model.weight) - len(model.voters), data, offs)
-            z += np.hstack([x, fired(x, model.voters)]) @ model.weight
+        x = features(model.slot, n_features, data, offs) if n_features else np.zeros((j - i, 0))
+        extra = np.array([general(t or "") for t in column.slice(i, j - i).to_pylist()])
+        z = model.bias + np.hstack([x, fired(x, extra, model.voters)]) @ model.weight
         out[i:j] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return out
 
