@@ -159,7 +159,9 @@ def _prefix(h: str, bits: str | int) -> Column:
     return F.expr(f"if(({bits}) = 0, 0L, shiftrightunsigned({h}, cast(64 - ({bits}) as int)))")
 
 
-LEAVES = ["dim", "tree", "first", "depth", "prefix", "part"]
+def _leaf() -> Column:
+    """The number of a leaf's part: one column to meet by.  Leaves that share one by chance add strings to compare, no more."""
+    return F.xxhash64("dim", "tree", "depth", "prefix", "part").alias("leaf")
 
 
 def _ranges(h: np.ndarray, q: np.ndarray, bits: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +249,13 @@ def candidates_of(classes: DataFrame, asked: DataFrame, n: int, *, k: int, trees
     cut = leaves.select("dim", "tree", "first", "depth").distinct()
     places = leaves.select("dim", "tree", "first", "depth", "prefix", "parts")
     own = entries.join(cut, ["dim", "tree", "first"]).withColumn("prefix", _prefix("h", "depth")).join(places, ["dim", "tree", "first", "depth", "prefix"])
-    own = own.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).select(*LEAVES, "h", "key", "sketch")
+    own = own.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).select(_leaf(), "h", "key", "sketch")
     # descent, in leaves for longer prefixes and by their sizes for shorter ones
     lost = F.coalesce("depth", F.lit(first))  # a query may begin as no entry does
     at_home = queries.join(cut, ["dim", "tree", "first"], "left").withColumn("depth", lost).withColumn("prefix", _prefix("h", "depth"))
-    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    inside = at_home.join(places, ["dim", "tree", "first", "depth", "prefix"]).select("dim", "tree", "first", "depth", "prefix", every_part, "h", "key")
-    deeper = own.drop("sketch").groupBy(*LEAVES).cogroup(inside.groupBy(*LEAVES)).applyInArrow(_descend, "query long, bits int, n long")
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    inside = at_home.join(places, ["dim", "tree", "first", "depth", "prefix"]).withColumn("part", every_part).select(_leaf(), "depth", "h", "key")
+    deeper = own.select("leaf", "h").groupBy("leaf").cogroup(inside.groupBy("leaf")).applyInArrow(_descend, "query long, bits int, n long")
     up = leaves.select("dim", "tree", "depth", "prefix", "c", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("bits"))
     sizes = up.groupBy("dim", "tree", "bits", F.expr("if(bits = 0, 0L, shiftrightunsigned(prefix, depth - bits))").alias("above")).agg(F.sum("c").alias("n"))
     # depth itself was counted inside, unless the query's leaf has no entry: then there is nothing at depth
@@ -269,8 +271,8 @@ def candidates_of(classes: DataFrame, asked: DataFrame, n: int, *, k: int, trees
     firsts = F.expr(f"sequence(shiftleft({begin}, {first} - {up_to}), shiftleft({begin} + 1L, {first} - {up_to}) - 1L)")
     wide = wide.withColumn("first", F.explode(firsts))
     under = wide.join(places, ["dim", "tree", "first"]).where(F.expr("if(least(bits, depth) = 0, true, shiftrightunsigned(prefix, depth - least(bits, depth)) = shiftrightunsigned(h, 64 - least(bits, depth)))"))
-    under = under.select("dim", "tree", "first", "depth", "prefix", every_part, "h", "key", "sketch", "bits")
-    near = own.groupBy(*LEAVES).cogroup(under.groupBy(*LEAVES)).applyInArrow(_compare(exact), "query long, key long, apart int")
+    under = under.withColumn("part", every_part).select(_leaf(), "h", "key", "sketch", "bits")
+    near = own.groupBy("leaf").cogroup(under.groupBy("leaf")).applyInArrow(_compare(exact), "query long, key long, apart int")
     near = near.groupBy("query", "key").agg(F.min("apart").alias("apart"))
     return near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("apart", "key"))).where(F.col("r") <= exact).select("query", "key")
 

@@ -103,6 +103,16 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, block):
     assert got == brute_components(docs, 4, 85)
 
 
+def test_one_of_each_group_stays_and_no_other_text_goes(spark):
+    a, b = " ".join(f"a{n}" for n in range(60)), " ".join(f"b{n}" for n in range(60))
+    rows = [(3, a, 1), (3, b, 2), (5, a + " x", 3), (7, b, 4), (7, b, 5), (8, None, 6), (9, "", 7), (None, a, 8), (None, a, 9)]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string, component_id long"))
+    assert kept.columns == ["doc_id", "text", "component_id"]
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (3, b), (8, None), (9, ""), (0, a), (0, a)], key=str)
+    assert jaccard.keep_first(kept.limit(0)).count() == 0
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8), (1, 1), (None, 2)], "a long, b long")
     got = {r.node: r.root for r in components(e).collect()}
