@@ -157,6 +157,54 @@ def opti_sim_large(frame: DataFrame, radius: float, start: int, size: int, *, k:
     return _result(frame, ids)
 
 
+def _apart(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return ((x - q) ** 2).sum(axis=1)
+
+
+def furthest_centroid_large(frame: DataFrame, size: int, start: int, *, scaling: float = 10.0, id: str = "id", vec: str = "features") -> DataFrame:
+    """(rank, id): rows far from the picks' centre, each of which drops its near neighbours, as FurthestCentroid(exact=True) does; two passes for each pick.
+
+    What is dropped is known by a point and the last neighbour that goes with it, so no rows are gathered.
+    """
+    rows = _rows(frame, id, vec)
+    n = rows.count()
+    ids, picks, far = [start], np.array(_fetch(rows, [start])), []
+    zones: list[tuple[np.ndarray, float, int]] = []
+    spare, share = n - size, -(-(n - size) // size)
+
+    def near(point: np.ndarray, reach: float) -> tuple[int, tuple[float, int] | None]:
+        """How many of the nearest rows are below reach, and the last of them."""
+        told = lambda batches: (pd.DataFrame({"d": _apart(np.vstack(b["features"].to_numpy()), point), "id": b["id"]}) for b in batches if not b.empty)
+        some = rows.mapInPandas(told, "d double, id long").where(F.col("d") < reach).orderBy("d", "id").limit(share)
+        got = some.agg(F.count("*").alias("n"), F.max(F.struct("d", "id")).alias("last")).first()
+        return got["n"], (got["last"]["d"], got["last"]["id"]) if got["n"] else None
+
+    while len(ids) < size:
+        centre, taken, gone = picks.mean(axis=0), list(ids), list(zones)
+
+        def key(i: np.ndarray, x: np.ndarray, centre=centre, taken=taken, gone=gone) -> np.ndarray:
+            dead = np.isin(i, taken)
+            for point, d, last in gone:
+                away = _apart(x, point)
+                dead |= (away < d) | ((away == d) & (i <= last))
+            return np.where(dead, -np.inf, _apart(x, centre))
+
+        got = _best(rows, key, 1)
+        if not got:
+            break
+        far.append(got[0][0])
+        ids.append(got[0][1])
+        picks = np.vstack([picks, got[0][2]])
+        reach = scaling / 100 * (far[0] + sum(far)) / (len(far) + 1)
+        for point in picks if len(far) == 1 else picks[-1:]:
+            if spare > 0 and scaling and share:
+                count, last = near(point, reach)
+                if last:
+                    zones.append((point, *last))
+                    spare -= count
+    return _result(frame, ids)
+
+
 def n_similarity_large(frame: DataFrame, size: int, start: int | list[int], *, id: str = "id", vec: str = "features", **index) -> DataFrame:
     """(rank, id): always the row that makes the picks' n-ary similarity least; a pass for each pick, whose state is the picks' column sums."""
     rows = _rows(frame, id, vec)

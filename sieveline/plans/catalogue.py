@@ -233,6 +233,23 @@ def dise_fixed_radius(spark, d):
     return large.dise_large(vectors(spark, d), 1.3, 0)
 
 
+@query(
+    "furthest_centroid_large",
+    f"""
+WITH RECURSIVE {_VEC},
+r(rk, id, e, used, total, pick) AS (
+  SELECT 0, p.id, p.e, p.id = 0, s.e, 0 FROM p JOIN p s ON s.id = 0
+  UNION ALL
+  SELECT r.rk + 1, r.id, r.e, r.used OR r.id = b.pick, {_ADD.format(a="r.total", b="s.e")}, b.pick
+  FROM r, (SELECT arg_max(id, struct_pack(d := {_SUM.format(a="e", b="total", f="(z[1] - z[2] / (rk + 1)) * (z[1] - z[2] / (rk + 1))")}, k := -id)) FILTER (NOT used) AS pick FROM r) b JOIN p s ON s.id = b.pick WHERE r.rk < 9
+)
+SELECT DISTINCT CAST(rk AS INT) AS rank, CAST(pick AS BIGINT) AS id FROM r
+""",
+)
+def furthest_centroid_large(spark, d):
+    return large.furthest_centroid_large(vectors(spark, d), 10, 0, scaling=0)
+
+
 @query("opti_sim_large")
 def opti_sim_large(spark, d):
     return large.opti_sim_large(vectors(spark, d), 1.2, 0, 10)

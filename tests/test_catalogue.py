@@ -77,6 +77,14 @@ def test_large_sum_and_similarity_equal_kernels(spark):
     assert order(large.opti_sim_large(rows.repartition(7), 1.2, 0, 6)) == got
 
 
+@pytest.mark.parametrize("scaling", [0.0, 10.0, 60.0])
+def test_large_centroid_equals_the_kernel(spark, scaling):
+    rows = catalogue.vectors(spark, str(DATA)).repartition(3)
+    x = np.vstack([r.features for r in rows.orderBy("id").collect()])
+    got = [r["id"] for r in large.furthest_centroid_large(rows, 6, 4, scaling=scaling).orderBy("rank").collect()]
+    assert got == kernels.furthest_centroid(x, 6, 4, scaling, exact=True)
+
+
 def test_grid_in_rounds(spark):
     g = np.random.default_rng(2)
     points = [(i, float(a), float(b)) for i, (a, b) in enumerate(g.normal(size=(90, 2)))]
