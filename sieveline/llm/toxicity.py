@@ -111,11 +111,21 @@ def mine(data: np.ndarray, offs: np.ndarray, y: np.ndarray, top: int = VOTERS, r
     By sequential covering: what one round's best grams explain is set aside, so that kinds of
     toxic text which have little in common each get entries of their own.
     """
-    parts = [_rates(data, offs, i) for i in range(0, len(y), 100)]  # the grams themselves are held for 100 texts at a time
-    t, b, v = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    del parts
-    common = np.bincount(b, minlength=1 << BITS)[b] >= 5
-    t, b, v = t[common], b[common], v[common]
+    # which grams are more frequent in toxic texts at all; only those are held, for 100 texts at a time
+    seen = np.zeros((2, 1 << BITS), dtype=np.int32)
+    for i in range(0, len(y), 100):
+        t, b, _ = _rates(data, offs, i)
+        for c in (0, 1):
+            seen[c] += np.bincount(b[y[t] == c], minlength=1 << BITS).astype(np.int32)
+    n_texts = np.maximum(np.bincount(y, minlength=2), 1)
+    telling = (seen[1] >= 3) & (seen.sum(0) >= 5) & (seen[1] / n_texts[1] >= seen[0] / n_texts[0])
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(y), 100):
+        t, b, v = _rates(data, offs, i)
+        keep = telling[b]
+        held.append((t[keep], b[keep], v[keep]))
+    t, b, v = (np.concatenate([p[k] for p in held]) for k in range(3))
+    del held, seen
     live = np.ones(len(y), dtype=bool)
     chosen: list[int] = []
     for _ in range(rounds):
