@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.components import components
-from sieveline.llm.scratch import written
+from sieveline.llm.scratch import free_shuffles, written
 from sieveline.llm.textkit import LOWER, blocks, distinct_sets, mix, runs, shingles, signed, without, word_hashes, word_spans
 
 CLASS, HOME, VISITOR, EDGE, META, TILE = range(6)
@@ -383,6 +383,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, pct: int = 80, doc_id: st
     rows = docs.mapInArrow(tiles(k, pct), "key long, a long, b long")
     rows = rows.repartition(F.shiftright("key", 3)).sortWithinPartitions("key", "a")
     found = written(rows.mapInArrow(stars, "kind int, a long, b long"), "tiles")
+    free_shuffles(docs.sparkSession)  # texts and tiles are shuffled in turn: one such shuffle lies on the disks at a time
     sizes = found.where(F.col("kind") == META).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     same = found.where(F.col("kind") == EDGE).select("a", "b")
     shared = found.where(F.col("kind") == TILE).select(F.col("a").alias("tile"), F.col("b").alias("node")).distinct()
@@ -390,6 +391,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, pct: int = 80, doc_id: st
     shared = shared.join(prints.hint("merge"), "node").select("tile", "node", "n", "bits").repartition("tile").sortWithinPartitions("tile")
     near = found.where(F.col("kind") == HOME).select("a", "b").unionAll(shared.mapInArrow(sift(pct), "a long, b long"))
     near = written(near.distinct(), "near")
+    free_shuffles(docs.sparkSession)
     verified = None
     if not near.isEmpty():
         clusters = written(components(same.unionAll(near)), "clusters")
@@ -410,6 +412,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, pct: int = 80, doc_id: st
             spread = pivots.select(F.col("node").alias("doc_id"), "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
             placed = placed.unionAll(spread).distinct()
         verified = written(_compared(docs, placed, k, pct), "verified")
+        free_shuffles(docs.sparkSession)
         if several:
             # all that is not in a large cluster's largest component meets all of the cluster
             roots = components(same.unionAll(verified))
@@ -426,6 +429,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, pct: int = 80, doc_id: st
                 others = others.select(F.col("node").alias("doc_id"), "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "groups", "g")
                 pairs = every.unionByName(others).select("doc_id", "cluster", number.alias("block")).distinct()
                 verified = written(verified.unionAll(_compared(docs, pairs, k, pct)), "verified")
+                free_shuffles(docs.sparkSession)
     links = same if verified is None else same.unionAll(verified)
     roots = components(links)
     out = sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")

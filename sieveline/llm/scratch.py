@@ -5,7 +5,9 @@ Writing a table cuts lineage: an executor that is lost later costs no more than
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the shuffle files of finished queries deleted.
+
+    Spark deletes them when the driver's garbage is collected, which a driver that has little to do
+    may put off until every shuffle of a long job lies on the disks.
+    """
+    for _ in range(2):  # what the first finds finished, listeners may still hold
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark._jvm
     for path in paths:
